@@ -5,11 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_dedup, mixing
+from . import line_dedup, media, mixing, packing, warc
 from .common import table
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    bundles = warc.write_bundles(warc.with_digests(pages))
+    return warc.read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = media.store(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = media.resolve(media.sequences(held, "id"), media.features(held))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -22,6 +41,9 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_warc": op3_warc,
+        "op4_media_columns": op4_media_columns,
+        "op6_best_fit_packing": op6_best_fit_packing,
         "op7_line_dedup": op7_line_dedup,
         "op10_mix_sources": op10_mix_sources,
     }
@@ -42,5 +64,16 @@ FROM k GROUP BY doc_id
 """
 
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(encode(html), ''::BLOB) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+m AS (SELECT h, max(page_id) AS last FROM d WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n AS payload_bytes, h AS payload_digest,
+       CASE WHEN last > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN last > page_id THEN last END AS refers_to
+FROM d LEFT JOIN m USING (h)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": LINE_SQL}
+    return {"op3_warc": WARC_SQL, "op7_line_dedup": LINE_SQL}
