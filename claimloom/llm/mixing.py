@@ -14,7 +14,9 @@ and equal rows are interchangeable; an empty table gives an empty table.
 from __future__ import annotations
 
 import math
+import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,6 +104,46 @@ def mix_sources(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sou
     return out.drop("h", "ord", "shard", "shards", "to", "from", "q_ord", "q_shard", "blocks", "quota")
 
 
+def taken_texts(mixed: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
+    """One row for each pass of a mixed document: its text, or the words its chosen blocks cover, a line for each run.
+
+    Columns of mix_sources() are dropped; `n_chars`, where given, is counted again. Documents without taken words go.
+    """
+    schema = mixed.drop("size", "source_size", "target", "taken", "spans").schema
+    at, count_at = schema.fieldNames().index(text), schema.fieldNames().index(n_chars) if n_chars else -1
+    n = len(schema)
+
+    def run(batches):
+        for b in batches:
+            source, out = [], []
+            for i, (t, size, spans) in enumerate(zip(b.column(at).to_pylist(), b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)):
+                by_pass: dict[int, list[tuple[int, int]]] = {}
+                for s in spans:
+                    by_pass.setdefault(s["pass"], []).append((s["start"], s["start"] + s["length"]))
+                words = None
+                for _, runs in sorted(by_pass.items()):
+                    if sum(z - a for a, z in runs) == size:
+                        out.append(t)
+                    else:
+                        words = words or list(re.finditer(WORD, t))
+                        merged = []
+                        for a, z in sorted(runs):
+                            if merged and merged[-1][1] == a:
+                                merged[-1][1] = z
+                            else:
+                                merged.append([a, z])
+                        out.append("\n".join(t[words[a].start() : words[z - 1].end()] for a, z in merged))
+                    source.append(i)
+            rows = b.take(pa.array(source, pa.int64()))
+            columns = rows.columns[:n]
+            columns[at] = pa.array(out, pa.string())
+            if count_at >= 0:
+                columns[count_at] = pa.array([len(x) for x in out], pa.int64()).cast(b.column(count_at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
+
+    return mixed.where("taken > 0").select(*schema.fieldNames(), "size", "spans").mapInArrow(run, schema)
+
+
 def quotas(order, want, sums, block, cap) -> dict[tuple[int, int], int]:
     """Blocks for each (source, shard): first among the sources, then within each source among its shards."""
     by_source: dict[int, list[int]] = {}

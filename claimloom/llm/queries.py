@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, line_dedup, media, mixing, ngram_join, packing, quality, toxicity, warc
+from . import embedding_dedup, line_dedup, media, mixing, ngram_join, packing, quality, suffix_dedup, toxicity, warc
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_line_dedup": op7_line_dedup,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_mix_sources": op10_mix_sources,
     }

@@ -1,4 +1,64 @@
-STAGES = []
+"""From raw documents to packed training sequences: five stages, each over all that the one before kept.
+
+run() writes each stage's rows to the shared folder and reads them again, so a lost executor repeats one stage's tasks
+at most. Repeated documents of the mix keep their doc_id; packing numbers pieces within each copy.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from claimloom.llm import line_dedup, mixing, ngram_join, packing, quality
+from claimloom.llm.common import sized_join, table, written
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the weakly labelled scorer rejects."""
+    return quality.filter_quality(docs, quality.fit(docs))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the lines that at least ten documents hold; a document that loses all its lines stays, empty."""
+    out = line_dedup.line_dedup(docs).withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")})
+    return out.select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies keep the document of the smallest id (one row of it)."""
+    groups = written(ngram_join.jaccard_components(docs.select("doc_id", "text")), "groups")
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    out = sized_join(docs, written(gone, "gone"), "doc_id", "left_anti", 16)
+    repeated = groups.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take each source's share: whole copies, and the words of the chosen blocks."""
+    return mixing.taken_texts(mixing.mix_sources(docs)).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokenise and pack into sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("line_dedup", drop_lines),
+    ("ngram_jaccard", one_of_each_group),
+    ("mix", mix),
+    ("pack", pack),
+]
+
+#: EM, tokenisation and packing are beyond SQL: tests hold the stages against brute force instead.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
