@@ -36,21 +36,20 @@ def hashes_of(keys: Column, min_chars: int) -> Column:
 def line_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """docs with `kept_text`, `n_lines`, `n_dropped` and `kept_sha256` appended."""
     base = docs.drop("kept_text", "n_lines", "n_dropped", "kept_sha256")
-    keyed = base.select(F.col(id_col).alias("id"), F.array_compact(F.array_distinct(hashes_of(keys_of(F.col(text)), min_chars))).alias("h"))
-    lines = keyed.select("id", F.explode("h").alias("h"))
+    base = base.withColumn("__t", F.xxhash64(text))
+    # Normalising is the dear step: the hashes are made once and written, and later steps read only them. Rows of one
+    # id are told apart by their text's hash, so positions never mix.
+    keyed = written(base.select(F.col(id_col).alias("id"), "__t", hashes_of(keys_of(F.col(text)), min_chars).alias("h")), "keys")
+    lines = keyed.select(F.explode(F.array_distinct(F.array_compact("h"))).alias("h"))
     common = written(lines.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h"), "lines")
-    # The documents that hold a common line, with the common hashes they hold: both sides of the last join are small
-    # beside the texts, and a document's hashes are bounded by its own lines.
     common = F.broadcast(common) if small(common, 16) else common
-    hit = lines.join(common, "h", "left_semi").groupBy("id").agg(F.collect_set("h").alias("__h"))
-    hit = written(hit, "hits")
-    if small(hit.select(F.explode("__h")), 24):
+    hit = keyed.select("id", "__t", F.posexplode("h").alias("pos", "h")).join(common, "h", "left_semi")
+    hit = written(hit.groupBy("id", F.col("__t").alias("t")).agg(F.collect_set("pos").alias("__gone")), "hits")
+    if small(hit.select(F.explode("__gone")), 24):
         hit = F.broadcast(hit)
-    out = base.join(hit, base[id_col].eqNullSafe(hit["id"]), "left").drop("id")
-    out = out.withColumns({"__l": lines_of(F.col(text)), "__k": hashes_of(keys_of(F.col(text)), min_chars)})
-    kept = F.when(F.col("__h").isNull(), F.col("__l")).otherwise(
-        F.filter(F.col("__l"), lambda x, i: ~F.coalesce(F.array_contains(F.col("__h"), F.get(F.col("__k"), i)), F.lit(False)))
-    )
+    out = base.join(hit, base[id_col].eqNullSafe(hit["id"]) & (F.col("__t") == F.col("t")), "left").drop("id", "t")
+    out = out.withColumn("__l", lines_of(F.col(text)))
+    kept = F.when(F.col("__gone").isNull(), F.col("__l")).otherwise(F.filter(F.col("__l"), lambda x, i: ~F.array_contains(F.col("__gone"), i)))
     out = out.withColumn("__kept", kept)
     return out.withColumns(
         {
@@ -58,4 +57,4 @@ def line_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_
             "n_lines": F.size("__l").cast("long"),
             "n_dropped": (F.size("__l") - F.size("__kept")).cast("long"),
         }
-    ).withColumn("kept_sha256", F.sha2("kept_text", 256)).drop("__l", "__k", "__h", "__kept")
+    ).withColumn("kept_sha256", F.sha2("kept_text", 256)).drop("__l", "__t", "__gone", "__kept")
