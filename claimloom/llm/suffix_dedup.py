@@ -15,7 +15,7 @@ on the input, and matches never cross documents. The steps:
 4. Covered ranges are united for each document and its remaining bytes digested.
 
 Every string's comparison happens under its own anchor, so nothing rests on sampling; k-grams are 64-bit hashes, and a
-collision only adds segments to compare.
+collision only adds segments to compare; segments under one anchor are told apart by another 64-bit hash.
 
 Defined cases: a null text is empty; texts shorter than `length` bytes stay whole; repeated rows of one id (an id names
 one text) are not each other's source and get equal results; empty tables give empty tables; texts are processed whole,
@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BUCKET_BYTES, byte_prefix, sized_join, span, text_chunks, written
+from .common import BUCKET_BYTES, GOLD, byte_prefix, sized_join, span, text_chunks, written
 
 PLACE = np.uint64((1 << 28) - 1)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -117,12 +117,12 @@ def shared_anchors(docs: DataFrame, length: int, k: int, buckets: int) -> DataFr
 
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for at, data, offsets in text_chunks(b.column(1), 1 << 20):
+            for at, data, offsets in text_chunks(b.column(1), 1 << 19):
                 place, h, _, _ = anchors(data, offsets, length, k)
                 held_h.append(h)
                 held_d.append(ids[at + np.searchsorted(offsets, place, "right") - 1])
                 held += len(h)
-            if held > 1_500_000:
+            if held > 700_000:
                 yield flush()
                 held_h, held_d, held = [], [], 0
         if held:
@@ -160,7 +160,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
         rank = np.empty(n, np.uint64)
         rank[order] = level.astype(np.uint64)
         if width >= depth or level[-1] == n:
-            return order
+            return order.astype(np.int32)
         key = rank << np.uint64(32)
         key[: n - width] |= rank[width:]
         order, rank = np.argsort(key, kind="stable"), key
@@ -176,126 +176,163 @@ def common_strings(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndar
     """
     order = suffix_order(symbols, depth)
     n = len(order)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
     # The transform: the symbol before each suffix; a stable sort of it is the inverse of the last-to-first map.
     transform = symbols[order - 1]
-    after = np.argsort(transform, kind="stable")
+    after = np.argsort(transform, kind="stable").astype(np.int32)
     parted = np.zeros(n, bool)
     parted[0] = True
     first = np.sort(transform)
-    joined = np.arange(1, n)
+    joined = np.arange(1, n, dtype=np.int32)
     for level in range(depth):
         if level == 0:
             part = first[joined] != first[joined - 1]
         else:
-            group = np.cumsum(parted)
+            group = np.cumsum(parted, dtype=np.int32)
             part = group[after[joined]] != group[after[joined - 1]]
         parted[joined[part]] = True
         joined = joined[~part]
         if not len(joined):
             break
-    return order, np.cumsum(parted)
-
-
-def covered(seg: list[bytes], least: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each distinct segment a mask of its strings that a segment of smaller least id also holds."""
-    sizes = np.array([len(s) for s in seg])
-    symbols = np.zeros(sizes.sum() + len(seg), np.int64)
-    begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-    text = np.frombuffer(b"\0".join(seg) + b"\0", np.uint8)
-    symbols[:] = text
-    symbols += 1
-    symbols[begin + sizes] = 0
-    owner = np.repeat(np.arange(len(seg)), sizes + 1)
+    return order, np.cumsum(parted, dtype=np.int32)
+
+
+def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of data[start : start + size], one after the other."""
+    at = np.cumsum(size) - size
+    return data[np.repeat(start - at, size) + np.arange(int(size.sum()))]
+
+
+def covered(text: np.ndarray, size: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (segment, first string, end) of distinct segments' strings that a segment of smaller least id also holds.
+
+    `text` holds the segments one after the other.
+    """
+    begin = np.cumsum(size + 1) - size - 1
+    symbols = np.zeros(int(size.sum()) + len(size), np.int16)
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
+    body = np.ones(len(symbols), bool)
+    body[begin + size] = False
+    symbols[body] = text.astype(np.int16) + 1
     order, group = common_strings(symbols, length)
-    room = (begin + sizes)[owner] - np.arange(len(symbols)) >= length
-    inside = room[order]
-    at, g = order[inside], group[inside]
+    at, g = order, group
+    inside = ((begin + size)[owner] - np.arange(len(symbols)) >= length)[order]
+    at, g = at[inside], g[inside]
     low = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
     np.minimum.at(low, g, least[owner[at]])
-    hit = np.zeros(len(symbols), bool)
+    hit = np.zeros(len(symbols) + 1, np.int8)
     hit[at] = low[g] < least[owner[at]]
-    return [hit[b : b + s - length + 1] for b, s in zip(begin, sizes, strict=True)]
+    step = np.diff(hit, prepend=0)
+    first, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    return owner[first], first - begin[owner[first]], end - begin[owner[first]]
+
+
+def merged(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges (id, a, b) with those of an id that touch or overlap made one."""
+    if not len(d):
+        return d, a, b
+    order = np.lexsort((b, a, d))
+    d, a, b = d[order], a[order], b[order]
+    new = firsts(d)
+    lift = np.cumsum(new) << 32  # texts are shorter than 2^32 bytes
+    reach = np.maximum.accumulate(b + lift) - lift
+    new[1:] |= a[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    return d[at], a[at], reach[np.append(at[1:], len(d)) - 1]
 
 
 def ranges(docs: DataFrame, hits: DataFrame, length: int, k: int, buckets: int) -> DataFrame:
     """(doc_id, a, b): byte ranges to remove, for (doc_id, text) and its shared anchors, written."""
     per_doc = hits.groupBy("doc_id").agg(F.collect_set("h").alias("h"))
-    ids = hits.select("doc_id").distinct()
-    ids = written(ids, "ids")
+    ids = written(hits.select("doc_id").distinct(), "ids")
     joined = sized_join(docs.select("doc_id", "text"), ids, "doc_id", "left_semi", 16).join(per_doc, "doc_id")
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
 
     def run(batches):
-        held: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-        size = 0
+        held, size = [], 0
 
         def flush():
-            ask, sure = {}, []
-            for (h, s), at in held.items():
-                at.sort()
-                d = at[0][0]
-                ask.setdefault(h % buckets, []).extend((h, x, a, s) for x, a in at if x == d)
-                sure += [(x, a, a + len(s)) for x, a in at if x != d]
-            rows = []
-            for bucket, entries in ask.items():
-                entries.sort(key=lambda e: (e[1], e[2]))
-                cols = [np.array([e[i] for e in entries], t) for i, t in ((0, np.uint64), (1, np.int64), (2, np.int64))]
-                rows.append((bucket, 0, pack(*cols, np.array([len(e[3]) for e in entries], np.int64)), zstandard.ZstdCompressor(level=3).compress(b"".join(e[3] for e in entries))))
-            for salt in range(0, len(sure), 20_000):
-                part = np.array(sure[salt : salt + 20_000], np.int64)
-                rows.append((int(part[0, 0]) % buckets, 1, pack(part[:, 0].copy(), part[:, 1].copy(), part[:, 2].copy()), b""))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "kind", "head", "body"])
+            h, s, d, a, n = (np.concatenate([x[i] for x in held]) for i in range(5))
+            data = np.concatenate([x[5] for x in held])
+            start = np.cumsum(n) - n
+            order = np.lexsort((a, d, s, h))
+            h, s, d, a, n, start = (x[order] for x in (h, s, d, a, n, start))
+            first = firsts(h, s)
+            low = d[first][np.cumsum(first) - 1]
+            ask = d == low
+            sure = merged(d[~ask], a[~ask], a[~ask] + n[~ask])
+            # Bytes go with the first row of a segment only; a row without bytes has size 0 there.
+            size_ = np.where(first, n, 0)[ask]
+            h, s, d, a, n, start = (x[ask] for x in (h, s, d, a, n, start))
+            at = (h % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((a, d, at))
+            h, s, d, a, n, start, size_, at = (x[order] for x in (h, s, d, a, n, start, size_, at))
+            cuts = np.flatnonzero(firsts(at))
+            rows, squeeze = [], zstandard.ZstdCompressor(level=3)
+            for x, y in zip(cuts, np.append(cuts[1:], len(at)), strict=True):
+                cols = pack(h[x:y], s[x:y], d[x:y], a[x:y], n[x:y], size_[x:y])
+                rows.append((int(at[x]), 0, cols, squeeze.compress(gather(data, start[x:y], size_[x:y]).tobytes())))
+            for x in range(0, len(sure[0]), 20_000):
+                rows.append((int(sure[0][x]) % buckets, 1, pack(*(c[x : x + 20_000] for c in sure)), b""))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], ["bucket", "kind", "head", "body"])
 
         for b in batches:
-            ids = b.column(0).to_numpy()
-            wanted = b.column(2)
-            for row, data, offsets in text_chunks(b.column(1), 1 << 20):
+            ids, wanted = b.column(0).to_numpy(), b.column(2)
+            for row, data, offsets in text_chunks(b.column(1), 1 << 19):
                 place, h, first, last = anchors(data, offsets, length, k)
                 owner = np.searchsorted(offsets, place, "right") - 1
-                cuts = np.searchsorted(owner, np.arange(len(offsets)))
-                raw = data.tobytes()
-                for i in range(len(offsets) - 1):
-                    a, z = cuts[i], cuts[i + 1]
-                    if a == z:
-                        continue
-                    for j in np.flatnonzero(np.isin(h[a:z], wanted[row + i].values.to_numpy().view(np.uint64))) + a:
-                        s = raw[first[j] : last[j] + length]
-                        held.setdefault((int(h[j]), s), []).append((int(ids[row + i]), int(first[j] - offsets[i])))
-                        size += len(s) + 60
-                if size > 64 << 20:
+                lists = wanted.slice(row, len(offsets) - 1)
+                known = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                with np.errstate(over="ignore"):
+                    tag = lambda x, i: x * GOLD + i.astype(np.uint64)
+                    live = np.isin(tag(h, owner), tag(lists.flatten().to_numpy().view(np.uint64), known))
+                h, first, n, owner = h[live], first[live], last[live] + length - first[live], owner[live]
+                if len(h):
+                    held.append((h, span(byte_prefix(data), first, first + n), ids[row + owner], first - offsets[owner], n, gather(data, first, n)))
+                    size += len(held[-1][5]) + 48 * len(h)
+                if size > 24 << 20:
                     yield flush()
-                    held, size = {}, 0
+                    held, size = [], 0
         if held:
             yield flush()
 
     def meet(key, t):
-        out_d, out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        groups: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
-        for kind, head, body in zip(t.column("kind").to_pylist(), t.column("head").to_pylist(), t.column("body").to_pylist(), strict=True):
+        sure, cols, body = [], [], []
+        for kind, head, raw in zip(t.column("kind").to_pylist(), t.column("head"), t.column("body"), strict=True):
             if kind:
-                for out, x in zip((out_d, out_a, out_b), unpack(head, np.int64, np.int64, np.int64), strict=True):
-                    out.append(x)
-                continue
-            h, d, a, n = unpack(head, np.uint64, np.int64, np.int64, np.int64)
-            raw, at = zstandard.ZstdDecompressor().decompress(body), 0
-            for hh, dd, aa, nn in zip(h.tolist(), d.tolist(), a.tolist(), n.tolist(), strict=True):
-                groups.setdefault(hh, {}).setdefault(raw[at : at + nn], []).append((dd, aa))
-                at += nn
-        rows, seg, least = [], [], []
-        for by_text in groups.values():
-            for s, where in by_text.items():
-                low = min(where)[0]
-                rows += [(d, a, a + len(s)) for d, a in where if d != low]
-                if len(by_text) > 1:
-                    seg.append((s, [a for d, a in where if d == low]))
-                    least.append(low)
-        if seg:
-            for (s, where), low, mask in zip(seg, least, covered([x[0] for x in seg], np.array(least), length), strict=True):
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
-                rows += [(low, a + int(x), a + int(y) - 1 + length) for a in where for x, y in edge.reshape(-1, 2)]
-        part = np.array(rows, np.int64).reshape(-1, 3)
-        return pa.table({"doc_id": np.concatenate([*out_d, part[:, 0]]), "a": np.concatenate([*out_a, part[:, 1]]), "b": np.concatenate([*out_b, part[:, 2]])})
+                sure.append(unpack(head.as_py(), np.int64, np.int64, np.int64))
+            else:
+                cols.append(unpack(head.as_py(), np.uint64, np.uint64, *[np.int64] * 4))
+                body.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw.as_py()), np.uint8))
+        out = [list(x) for x in zip(*sure, strict=True)] if sure else [[], [], []]
+        if cols:
+            h, s, d, a, n, size = (np.concatenate(x) for x in zip(*cols, strict=True))
+            data = np.concatenate(body)
+            start = np.cumsum(size) - size
+            order = np.lexsort((a, d, s, h))
+            h, s, d, a, n, size, start = (x[order] for x in (h, s, d, a, n, size, start))
+            first = firsts(h, s)
+            seg = np.cumsum(first) - 1
+            low = d[first][seg]
+            for o, x in zip(out, (d, a, a + n), strict=True):
+                o.append(x[d > low])
+            # Segments of an anchor that has several: the smallest id's bytes, which that row or another of it carries.
+            anchor = np.cumsum(firsts(h[first])) - 1
+            several = (np.bincount(anchor) > 1)[anchor][seg]
+            if several.any():
+                rows = several & (d == low)
+                holder = np.flatnonzero(several & (size > 0))
+                holder = holder[firsts(seg[holder])]
+                text = gather(data, start[holder], size[holder])
+                part, x, y = covered(text, size[holder], low[holder], length)
+                # A run of a segment counts wherever the smallest id has the segment.
+                at = np.flatnonzero(rows)
+                left, right = np.searchsorted(seg[at], seg[holder][part], "left"), np.searchsorted(seg[at], seg[holder][part], "right")
+                times = right - left
+                where = at[np.repeat(left - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
+                for o, v in zip(out, (d[where], a[where] + np.repeat(x, times), a[where] + np.repeat(y - 1 + length, times)), strict=True):
+                    o.append(v)
+        d, a, b = merged(*(np.concatenate(o).astype(np.int64) if o else np.zeros(0, np.int64) for o in out))
+        return pa.table({"doc_id": d, "a": a, "b": b})
 
     packed = joined.select("doc_id", "text", "h").mapInArrow(run, "bucket long, kind int, head binary, body binary")
     return written(packed.groupBy("bucket").applyInArrow(meet, "doc_id long, a long, b long"), "ranges")
@@ -337,7 +374,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     total = base.where("NOT copy").agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, math.ceil(total * 2 / (length - gram + 2) * 16 / BUCKET_BYTES))
     hits = shared_anchors(own, length, gram, buckets)
-    wide = max(1, math.ceil(hits.count() * 90 / (2 * BUCKET_BYTES)))
+    wide = max(1, math.ceil(hits.count() * 90 / (BUCKET_BYTES // 3)))
     found = ranges(own, hits, length, gram, wide)
     done = written(cut(own, found), "cut").distinct()
     empty = hashlib.sha256(b"").hexdigest()
