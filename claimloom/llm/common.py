@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +87,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return label.union(label.select(F.col("component").alias("node"), "component").distinct())
 
 
+# ---------------------------------------------------------------- packed columns
+def pack(*columns: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.tobytes() for c in columns))
+
+
+def unpack(raw: bytes, *kinds) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(raw)
+    width = sum(np.dtype(k).itemsize for k in kinds)
+    n, at, out = len(data) // width, 0, []
+    for k in kinds:
+        out.append(np.frombuffer(data, k, n, at))
+        at += n * np.dtype(k).itemsize
+    return out
+
+
 # ---------------------------------------------------------------- numpy text kernels
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, on uint64 arrays."""

@@ -33,11 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BUCKET_BYTES, components, mix, set_id, shingles, sized_join, text_chunks, written
+from .common import BUCKET_BYTES, components, mix, pack, set_id, shingles, sized_join, text_chunks, unpack, written
 
 SKETCH = 1 << 18
 SLICE = 1 << 14
-BITS = 1024
 ENTRY = np.dtype([("token", "<u8"), ("sid", "<i8"), ("n", "<i4")])
 
 
@@ -103,11 +102,11 @@ def prefixes(docs: DataFrame, id_col: str, text: str, k: int, percent: int, orde
             # A task sends each (shingle, set) once: equal copies do not pile up.
             all_ = np.unique(all_)
             at = (all_["token"] % np.uint64(buckets)).astype(np.int64)
-            rank = np.argsort(at, kind="stable")
+            rank = np.lexsort((all_["sid"], at))
             all_, at = all_[rank], at[rank]
             cuts = np.flatnonzero(np.diff(at)) + 1
-            firsts = np.concatenate(([0], cuts))
-            return pa.RecordBatch.from_arrays([pa.array(at[firsts]), pa.array([p.tobytes() for p in np.split(all_, cuts)], pa.binary())], ["bucket", "entries"])
+            blobs = [pack(*(np.ascontiguousarray(p[c]) for c in ENTRY.names)) for p in np.split(all_, cuts)]
+            return pa.RecordBatch.from_arrays([pa.array(at[np.concatenate(([0], cuts))]), pa.array(blobs, pa.binary())], ["bucket", "entries"])
 
         for b in batches:
             for _, data, offsets in text_chunks(b.column(0)):
@@ -132,7 +131,11 @@ def shared(packed: DataFrame) -> DataFrame:
     """(token, sid, n) of the prefix shingles that at least two different sets hold, written."""
 
     def run(key, t):
-        e = np.unique(np.concatenate([np.frombuffer(x.as_py(), ENTRY) for x in t.column("entries")]))
+        parts = [unpack(x.as_py(), *(ENTRY[c] for c in ENTRY.names)) for x in t.column("entries")]
+        e = np.empty(sum(len(p[0]) for p in parts), ENTRY)
+        for i, c in enumerate(ENTRY.names):
+            e[c] = np.concatenate([p[i] for p in parts])
+        e = np.unique(e)
         fresh = np.concatenate(([True], e["token"][1:] != e["token"][:-1]))
         size = np.diff(np.append(np.flatnonzero(fresh), len(e)))
         e = e[np.repeat(size > 1, size)]
@@ -141,8 +144,11 @@ def shared(packed: DataFrame) -> DataFrame:
     return written(packed.groupBy("bucket").applyInArrow(run, "token long, sid long, n int"), "shared")
 
 
-def arrays(docs: DataFrame, id_col: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
-    """(sid, values): the sorted shingles of the wanted (sid, rep) sets, from their representatives' texts."""
+def per_set(docs: DataFrame, id_col: str, text: str, k: int, wanted: DataFrame, name: str, form) -> DataFrame:
+    """(sid, `name`): form(sorted shingles) of the wanted (sid, rep) sets, from their representatives' texts.
+
+    Repeated rows of a representative give repeated rows, which only repeat links.
+    """
     kept = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text).alias("t"))
     kept = sized_join(kept, wanted.groupBy("rep").agg(F.collect_set("sid").alias("sids")), "rep", "inner", 32)
 
@@ -150,18 +156,16 @@ def arrays(docs: DataFrame, id_col: str, text: str, k: int, wanted: DataFrame) -
         for b in batches:
             sids = b.column(1).to_pylist()
             for at, data, offsets in text_chunks(b.column(0)):
-                out = [(set_id(s), s.tobytes()) for s in shingles(data, offsets, k)]
-                out = [x for i, x in enumerate(out) if x[0] in sids[at + i]]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["sid", "values"])
+                out = [(sid, form(s)) for i, s in enumerate(shingles(data, offsets, k)) if len(s) and (sid := set_id(s)) in sids[at + i]]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["sid", name])
 
-    found = kept.select("t", "sids").mapInArrow(run, "sid long, values binary")
-    return written(found, "arrays").dropDuplicates(["sid"])
+    return kept.select("t", "sids").mapInArrow(run, f"sid long, {name} binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link, written; a pair costs one array moved."""
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(reps, "sid").select("sid", "rep"), "wanted")
-    held = written(arrays(docs, id_col, text, k, wanted), "held")
+    held = per_set(docs, id_col, text, k, wanted, "values", bytes)
 
     def run(batches):
         for b in batches:
@@ -200,41 +204,55 @@ def leader_pairs(members: DataFrame, percent: int, seed: int) -> DataFrame:
     return best.select(F.least("sid", "x.leader").alias("a"), F.greatest("sid", "x.leader").alias("b")).distinct()
 
 
+def bitmap_bits(n: int) -> int:
+    return max(256, 1 << (4 * n - 1).bit_length())
+
+
+def fold(raw: bytes, words: int) -> np.ndarray:
+    """A bitmap in fewer words: what the same shingles set there."""
+    return np.bitwise_or.reduce(np.frombuffer(raw, np.uint64).reshape(-1, words), 0)
+
+
 def bitmap(values: np.ndarray) -> bytes:
-    out = np.zeros(BITS // 64, np.uint64)
-    at = mix(values) % np.uint64(BITS)
+    """A bit for each shingle, in four times as many bits as shingles, rounded up to a power of two."""
+    wide = bitmap_bits(len(values))
+    out = np.zeros(wide // 64, np.uint64)
+    at = mix(values) & np.uint64(wide - 1)
     np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
     return out.tobytes()
 
 
-def band_pairs(n: np.ndarray, bits: np.ndarray, comp: np.ndarray, percent: int, edge: int = 256):
-    """Index pairs of one shingle's sets (sorted by size) that may link: tiles of fitting sizes, bit counts."""
-    i_out, j_out = [], []
-    for i in range(0, len(n), edge):
+def band_pairs(n: np.ndarray, raw: list[bytes], comp: np.ndarray, percent: int):
+    """Index pairs of one shingle's sets (sorted by size) that may link: tiles of fitting sizes, bit counts.
+
+    A tile compares in the width of its smallest set's bitmap; larger sets' bitmaps are folded to it.
+    """
+    i_out, j_out, i = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while i < len(n):
+        words = bitmap_bits(int(n[i])) // 64
+        edge = max(8, int(((1 << 21) / words) ** 0.5))
         a = slice(i, min(i + edge, len(n)))
         reach = int(np.searchsorted(n, n[a.stop - 1] * 100 // percent, "right"))
+        left = np.stack([fold(x, words) for x in raw[a]])
         for j in range(i, reach, edge):
-            b = slice(j, min(j + edge, len(n)))
+            b = slice(j, min(j + edge, reach))
+            right = left if j == i and b == a else np.stack([fold(x, words) for x in raw[b]])
             total = n[a, None] + n[None, b]
-            away = np.bitwise_count(bits[a, None, :] ^ bits[None, b, :]).sum(2, dtype=np.int64)
+            away = np.bitwise_count(left[:, None, :] ^ right[None, :, :]).sum(2, dtype=np.int64)
             ok = (total - away >= 2 * least_overlap(total, percent)) & (comp[a, None] != comp[None, b])
             ok &= np.minimum(n[a, None], n[None, b]) * 100 >= np.maximum(n[a, None], n[None, b]) * percent
             x, y = np.nonzero(ok)
             keep = x + i < y + j
             i_out.append(x[keep] + i)
             j_out.append(y[keep] + j)
+        i = a.stop
     return np.concatenate(i_out), np.concatenate(j_out)
 
 
 def tile_pairs(members: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of different components that the bitmaps leave open."""
     wanted = written(members.select("sid").distinct().join(reps, "sid").select("sid", "rep"), "wanted")
-
-    def sign(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bitmap(np.frombuffer(v.as_buffer(), np.uint64)) for v in b.column(1)], pa.binary())], ["sid", "bits"])
-
-    signed = written(arrays(docs, id_col, text, k, wanted).mapInArrow(sign, "sid long, bits binary"), "bitmaps")
+    signed = per_set(docs, id_col, text, k, wanted, "bits", bitmap)
     # Groups of one shingle whose sets, components and sizes are those of another's give the same pairs: each set of
     # members is compared once.
     groups = members.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(3), "sid"), 20)).alias("s"))
@@ -245,14 +263,14 @@ def tile_pairs(members: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str
         n = t.column("n").to_numpy().astype(np.int64)
         rank = np.argsort(n, kind="stable")
         sid, comp, n = t.column("sid").to_numpy()[rank], t.column("comp").to_numpy()[rank], n[rank]
-        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)[rank]
-        i, j = band_pairs(n, bits, comp, percent)
+        raw = t.column("bits").to_pylist()
+        i, j = band_pairs(n, [raw[r] for r in rank], comp, percent)
         return pa.table({"a": np.minimum(sid[i], sid[j]), "b": np.maximum(sid[i], sid[j])})
 
     return held.select("token", "sid", "n", "comp", "bits").groupBy("token").applyInArrow(run, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = 5, percent: int = 80, leader_rounds: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = 5, percent: int = 80, leader_rounds: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
     described = describe(docs, id_col, text, k)

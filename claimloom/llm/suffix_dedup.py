@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BUCKET_BYTES, GOLD, byte_prefix, sized_join, span, text_chunks, written
+from .common import BUCKET_BYTES, GOLD, byte_prefix, pack, sized_join, span, text_chunks, unpack, written
 
 PLACE = np.uint64((1 << 28) - 1)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -64,20 +64,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
     return at[fresh], hashed[at[fresh]], start[fresh], start[last]
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.tobytes() for c in columns))
-
-
-def unpack(raw: bytes, *kinds) -> list[np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(raw)
-    width = sum(np.dtype(k).itemsize for k in kinds)
-    n, at, out = len(data) // width, 0, []
-    for k in kinds:
-        out.append(np.frombuffer(data, k, n, at))
-        at += n * np.dtype(k).itemsize
-    return out
-
-
 def firsts(*keys: np.ndarray) -> np.ndarray:
     """Where a new group begins in arrays sorted together."""
     out = np.ones(len(keys[0]), bool)
