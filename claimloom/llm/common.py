@@ -87,6 +87,24 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return label.union(label.select(F.col("component").alias("node"), "component").distinct())
 
 
+class Forest:
+    """Union-find over local numbers."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
 # ---------------------------------------------------------------- packed columns
 def pack(*columns: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(c.tobytes() for c in columns))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import Forest, components, written
 
 SLACK = 1e-12
 
@@ -45,24 +45,6 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum((a[:, i : i + step] @ b[:, i : i + step].T).astype(np.float64) for i in range(0, width, step))
 
 
-class Forest:
-    """Union-find over local numbers."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
 def tile(unit_a, unit_b, same: bool, threshold: float, rows: int = 1024):
     """Yield (i, j) arrays of the linked pairs of a tile, strip by strip; i < j within a block's own tile."""
     qa, sa, ra = quantise(unit_a)

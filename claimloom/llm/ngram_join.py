@@ -8,11 +8,12 @@ document's set size and component. The steps:
 2. Shingles are ordered rare first (by the sketch, then by hash). Sets that link share a shingle among their first
    n - ceil(t*n) + 1, so only those are exchanged, packed in binary buckets by shingle; what a bucket's task holds is
    bounded by its share of the whole exchange, and one task sends a shingle of a set once.
-3. Leader rounds: in each shingle's group every set is paired with one seeded leader; the pairs are verified exactly
-   and the links merged. This contracts groups of near copies without forming their pairs.
+3. Homes: each set goes once to the home of the seeded leader that most of its shingles' groups name (large homes are
+   split, the leader going to each part), and a home's sets are resolved among themselves: bitmaps, then sorted
+   arrays, skipping pairs that are joined already. This contracts groups of near copies without forming their pairs.
 4. Tile round: where a shingle's group still spans several components, its sets are sorted by size and compared in
    tiles of neighbouring size bands; the bit counts of XORed bitmaps bound the overlap from above, and the pairs that
-   remain, of different components, are verified by intersecting the sorted arrays.
+   remain, of different components and homes, are verified by intersecting the sorted arrays.
 5. Components of all links.
 
 Every pair of linked sets is either verified or already in one component, so no link between components is lost.
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BUCKET_BYTES, components, mix, pack, set_id, shingles, sized_join, text_chunks, unpack, written
+from .common import BUCKET_BYTES, Forest, components, mix, pack, set_id, shingles, sized_join, text_chunks, unpack, written
 
 SKETCH = 1 << 18
 SLICE = 1 << 14
@@ -49,6 +50,14 @@ def least_overlap(total, percent: int):
     return -(-total * percent // (100 + percent))
 
 
+def linked(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets link."""
+    if min(len(u), len(v)) * 100 < percent * max(len(u), len(v)) or not len(u):
+        return False
+    merged = np.sort(np.concatenate((u, v)), kind="stable")
+    return int((merged[1:] == merged[:-1]).sum()) >= least_overlap(len(u) + len(v), percent)
+
+
 def describe(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
     """Rows (doc_id, n, sid) of documents and (slice, counts) of the sketch, written."""
 
@@ -171,9 +180,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, te
         for b in batches:
             ok = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(u) + len(v) - len(np.union1d(u, v)) if min(len(u), len(v)) * 100 >= percent * max(len(u), len(v)) else 0
-                ok.append(both >= least_overlap(len(u) + len(v), percent) and both > 0)
+                ok.append(linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], ["a", "b"])
 
     left = pairs.join(held.select(F.col("sid").alias("a"), F.col("values").alias("u")), "a")
@@ -184,8 +191,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, te
 def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     """members with `comp`, the component so far (the set itself where it has no link)."""
     comp = written(components(links).select(F.col("node").alias("sid"), F.col("component").alias("comp")), "comps")
-    out = sized_join(members.drop("comp"), comp, "sid", "left", 24).select("token", "sid", "n", F.coalesce("comp", "sid").alias("comp"))
-    return out
+    return sized_join(members, comp, "sid", "left", 24).select("token", "sid", "n", F.coalesce("comp", "sid").alias("comp"))
 
 
 def open_tokens(members: DataFrame) -> DataFrame:
@@ -194,14 +200,46 @@ def open_tokens(members: DataFrame) -> DataFrame:
     return written(members.join(spans, "token", "left_semi"), "open")
 
 
-def leader_pairs(members: DataFrame, percent: int, seed: int) -> DataFrame:
-    """For each set the leader that most of its shingles' groups name, of another component and fitting size."""
-    lead = members.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "sid").alias("h"), "sid", "n", "comp")).alias("l"))
+def homes(members: DataFrame, percent: int, seed: int, part: int) -> DataFrame:
+    """(sid, leader, salt): for each set the leader of fitting size that most of its shingles' groups name, written.
+
+    salt splits a home of more than `part` sets.
+    """
+    lead = members.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "sid").alias("h"), "sid", "n")).alias("l"))
     fit = F.least("n", "l.n") * 100 >= F.greatest("n", "l.n") * percent
-    named = members.join(lead, "token").where((F.col("comp") != F.col("l.comp")) & fit)
+    named = members.join(lead, "token").where((F.col("sid") != F.col("l.sid")) & fit)
     votes = named.groupBy("sid", F.col("l.sid").alias("leader")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("sid").agg(F.max(F.struct("votes", "leader")).alias("x"))
-    return best.select(F.least("sid", "x.leader").alias("a"), F.greatest("sid", "x.leader").alias("b")).distinct()
+    best = written(votes.groupBy("sid").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader")), "leaders")
+    parts = best.groupBy("leader").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    return written(best.join(parts, "leader").select("sid", "leader", F.pmod(F.xxhash64(F.lit(seed + 1), "sid"), "parts").cast("int").alias("salt"), "parts"), "homes")
+
+
+def resolve(docs: DataFrame, reps: DataFrame, placed: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
+    """A spanning forest (a, b) of the links within each home's parts, written."""
+    leaders = placed.select("leader", "parts").distinct()
+    goes = placed.select("sid", "leader", "salt").union(leaders.select(F.col("leader").alias("sid"), "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")))
+    wanted = written(goes.select("sid").distinct().join(reps, "sid").select("sid", "rep"), "wanted")
+    # Each set's homes are put beside its text's row, so that its array is shuffled once for each home.
+    to = goes.groupBy("sid").agg(F.collect_set(F.struct("leader", "salt")).alias("to"))
+    held = sized_join(per_set(docs, id_col, text, k, wanted, "values", bytes), written(to, "to"), "sid", "inner", 80)
+    held = held.select("sid", "values", F.explode("to").alias("x")).select("x.leader", "x.salt", "sid", "values")
+
+    def run(key, t):
+        sid, at = np.unique(t.column("sid").to_numpy(), return_index=True)
+        column = t.column("values").combine_chunks()
+        sets = [np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in at]
+        n = np.array([len(x) for x in sets], np.int64)
+        rank = np.argsort(n, kind="stable")
+        sid, sets, n = sid[rank], [sets[i] for i in rank], n[rank]
+        i, j = band_pairs(n, [bitmap(x) for x in sets], np.arange(len(n)), percent)
+        forest, edges = Forest(len(n)), []
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            if forest.find(x) != forest.find(y) and linked(sets[x], sets[y], percent):
+                forest.join(x, y)
+                edges.append((min(sid[x], sid[y]), max(sid[x], sid[y])))
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+    return written(held.groupBy("leader", "salt").applyInArrow(run, "a long, b long"), "links")
 
 
 def bitmap_bits(n: int) -> int:
@@ -222,7 +260,7 @@ def bitmap(values: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def band_pairs(n: np.ndarray, raw: list[bytes], comp: np.ndarray, percent: int):
+def band_pairs(n: np.ndarray, raw: list[bytes], comp: np.ndarray, percent: int, home=None):
     """Index pairs of one shingle's sets (sorted by size) that may link: tiles of fitting sizes, bit counts.
 
     A tile compares in the width of its smallest set's bitmap; larger sets' bitmaps are folded to it.
@@ -243,13 +281,17 @@ def band_pairs(n: np.ndarray, raw: list[bytes], comp: np.ndarray, percent: int):
             ok &= np.minimum(n[a, None], n[None, b]) * 100 >= np.maximum(n[a, None], n[None, b]) * percent
             x, y = np.nonzero(ok)
             keep = x + i < y + j
+            if home is not None:  # (set, leader, salt): pairs that a home has resolved
+                sid, leader, salt = home
+                p, q = x + i, y + j
+                keep &= ~((leader[p] == leader[q]) & (salt[p] == salt[q]) | (leader[p] == sid[q]) | (leader[q] == sid[p]))
             i_out.append(x[keep] + i)
             j_out.append(y[keep] + j)
         i = a.stop
     return np.concatenate(i_out), np.concatenate(j_out)
 
 
-def tile_pairs(members: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
+def tile_pairs(members: DataFrame, placed: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of different components that the bitmaps leave open."""
     wanted = written(members.select("sid").distinct().join(reps, "sid").select("sid", "rep"), "wanted")
     signed = per_set(docs, id_col, text, k, wanted, "bits", bitmap)
@@ -257,6 +299,7 @@ def tile_pairs(members: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str
     # members is compared once.
     groups = members.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(3), "sid"), 20)).alias("s"))
     once = groups.groupBy("c", "x", "s").agg(F.min("token").alias("token")).select("token")
+    signed = signed.join(placed.select("sid", "leader", "salt"), "sid", "left").select("sid", "bits", F.coalesce("leader", "sid").alias("leader"), F.coalesce("salt", F.lit(-1)).alias("salt"))
     held = members.join(once, "token", "left_semi").join(signed, "sid")
 
     def run(key, t):
@@ -264,13 +307,14 @@ def tile_pairs(members: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str
         rank = np.argsort(n, kind="stable")
         sid, comp, n = t.column("sid").to_numpy()[rank], t.column("comp").to_numpy()[rank], n[rank]
         raw = t.column("bits").to_pylist()
-        i, j = band_pairs(n, [raw[r] for r in rank], comp, percent)
+        home = (sid, t.column("leader").to_numpy()[rank], t.column("salt").to_numpy()[rank])
+        i, j = band_pairs(n, [raw[r] for r in rank], comp, percent, home)
         return pa.table({"a": np.minimum(sid[i], sid[j]), "b": np.maximum(sid[i], sid[j])})
 
-    return held.select("token", "sid", "n", "comp", "bits").groupBy("token").applyInArrow(run, "a long, b long").distinct()
+    return held.select("token", "sid", "n", "comp", "bits", "leader", "salt").groupBy("token").applyInArrow(run, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = 5, percent: int = 80, leader_rounds: int = 1) -> DataFrame:
+def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = 5, percent: int = 80, seed: int = 5, part: int = 512) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
     described = describe(docs, id_col, text, k)
@@ -279,15 +323,11 @@ def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     reps = written(rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, math.ceil(total * (100 - percent) / 100 * ENTRY.itemsize / BUCKET_BYTES))
-    members = shared(prefixes(docs, id_col, text, k, percent, order, buckets)).withColumn("comp", F.col("sid"))
-    links = spark.createDataFrame([], "a long, b long")
-    for seed in range(leader_rounds):
-        members = open_tokens(members)
-        pairs = written(leader_pairs(members, percent, seed), "pairs")
-        links = links.union(verified(pairs, docs, reps, id_col, text, k, percent))
-        members = labelled(members, links)
-    members = open_tokens(members)
-    pairs = written(tile_pairs(members, docs, reps, id_col, text, k, percent), "pairs")
+    members = shared(prefixes(docs, id_col, text, k, percent, order, buckets))
+    placed = homes(members, percent, seed, part)
+    links = resolve(docs, reps, placed, id_col, text, k, percent)
+    members = open_tokens(labelled(members, links))
+    pairs = written(tile_pairs(members, placed, docs, reps, id_col, text, k, percent), "pairs")
     links = links.union(verified(pairs, docs, reps, id_col, text, k, percent))
     comps = components(links).select(F.col("node").alias("sid"), "component")
     grouped = reps.join(comps, "sid", "left").select("sid", "rep", "copies", F.coalesce("component", "sid").alias("component"), F.col("component").isNotNull().alias("linked"))
