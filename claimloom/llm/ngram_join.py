@@ -8,12 +8,12 @@ document's set size and component. The steps:
 2. Shingles are ordered rare first (by the sketch, then by hash). Sets that link share a shingle among their first
    n - ceil(t*n) + 1, so only those are exchanged, packed in binary buckets by shingle; what a bucket's task holds is
    bounded by its share of the whole exchange, and one task sends a shingle of a set once.
-3. Homes: each set goes once to the home of the seeded leader that most of its shingles' groups name (large homes are
-   split, the leader going to each part), and a home's sets are resolved among themselves: bitmaps, then sorted
-   arrays, skipping pairs that are joined already. This contracts groups of near copies without forming their pairs.
+3. Homes: each set names the seeded leader that most of its shingles' groups name; leaders of leaders make homes, which
+   are split where large. A set goes once to its home, and a home's sets are resolved among themselves: bitmaps, then
+   sorted arrays, skipping pairs that are joined already. This contracts groups of near copies without their pairs.
 4. Tile round: where a shingle's group still spans several components, its sets are sorted by size and compared in
-   tiles of neighbouring size bands; the bit counts of XORed bitmaps bound the overlap from above, and the pairs that
-   remain, of different components and homes, are verified by intersecting the sorted arrays.
+   tiles of neighbouring size bands; the bit counts of XORed bitmaps bound the overlap from above. The pairs that
+   remain, of different components and homes, are settled by wider bitmaps and then by their sorted arrays.
 5. Components of all links.
 
 Every pair of linked sets is either verified or already in one component, so no link between components is lost.
@@ -171,27 +171,46 @@ def per_set(docs: DataFrame, id_col: str, text: str, k: int, wanted: DataFrame,
     return kept.select("t", "sids").mapInArrow(run, f"sid long, {name} binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, written; a pair costs one array moved."""
+def settled(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text: str, k: int, name: str, form, test) -> DataFrame:
+    """The pairs (a, b) for which test(form of a's set, form of b's set, sizes of both) holds, written."""
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(reps, "sid").select("sid", "rep"), "wanted")
-    held = per_set(docs, id_col, text, k, wanted, "values", bytes)
+    held = per_set(docs, id_col, text, k, wanted, name, form)
 
     def run(batches):
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                ok.append(linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], ["a", "b"])
+            ok = pa.array([test(x.as_py(), y.as_py()) for x, y in zip(b.column(2), b.column(3), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
-    left = pairs.join(held.select(F.col("sid").alias("a"), F.col("values").alias("u")), "a")
-    both = left.join(held.select(F.col("sid").alias("b"), F.col("values").alias("v")), "b")
+    left = pairs.join(held.select(F.col("sid").alias("a"), F.col(name).alias("u")), "a")
+    both = left.join(held.select(F.col("sid").alias("b"), F.col(name).alias("v")), "b")
     return written(both.select("a", "b", "u", "v").mapInArrow(run, "a long, b long"), "links")
 
 
-def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+def sized_bitmap(values: np.ndarray, per: int) -> bytes:
+    return len(values).to_bytes(8, "little") + bitmap(values, per)
+
+
+def may_link(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether the bit counts of two sized bitmaps leave the link open."""
+    total, width = int.from_bytes(x[:8], "little") + int.from_bytes(y[:8], "little"), (min(len(x), len(y)) - 8) // 8
+    away = int(np.bitwise_count(fold(x[8:], width) ^ fold(y[8:], width)).sum())
+    return total - away >= 2 * least_overlap(total, percent)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
+    """The candidate pairs that link: first by bitmaps of eight bits a shingle, then by the arrays."""
+    open_ = settled(pairs, docs, reps, id_col, text, k, "bits", lambda s: sized_bitmap(s, 8), lambda x, y: may_link(x, y, percent))
+    return settled(open_, docs, reps, id_col, text, k, "values", bytes, lambda x, y: linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
+
+
+def component_of(links: DataFrame) -> DataFrame:
+    """(sid, comp) of the sets that have a link, written."""
+    return written(components(links).select(F.col("node").alias("sid"), F.col("component").alias("comp")), "comps")
+
+
+def labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
     """members with `comp`, the component so far (the set itself where it has no link)."""
-    comp = written(components(links).select(F.col("node").alias("sid"), F.col("component").alias("comp")), "comps")
-    return sized_join(members, comp, "sid", "left", 24).select("token", "sid", "n", F.coalesce("comp", "sid").alias("comp"))
+    return sized_join(members, comps, "sid", "left", 24).select("token", "sid", "n", F.coalesce("comp", "sid").alias("comp"))
 
 
 def open_tokens(members: DataFrame) -> DataFrame:
@@ -200,50 +219,54 @@ def open_tokens(members: DataFrame) -> DataFrame:
     return written(members.join(spans, "token", "left_semi"), "open")
 
 
-def homes(members: DataFrame, percent: int, seed: int, part: int) -> DataFrame:
-    """(sid, leader, salt): for each set the leader of fitting size that most of its shingles' groups name, written.
+def homes(members: DataFrame, percent: int, seed: int, part: int, hops: int = 2) -> DataFrame:
+    """(sid, leader, salt): the home of each set that names a leader or is one, written.
 
-    salt splits a home of more than `part` sets.
+    A set names the leader of fitting size that most of its shingles' groups name. A leader's seeded hash is the
+    smallest of its groups, so chains of leaders have no cycle; a home is the leader a few steps up. salt splits a home
+    of more than `part` sets, by the leader that its sets name themselves.
     """
     lead = members.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "sid").alias("h"), "sid", "n")).alias("l"))
     fit = F.least("n", "l.n") * 100 >= F.greatest("n", "l.n") * percent
     named = members.join(lead, "token").where((F.col("sid") != F.col("l.sid")) & fit)
     votes = named.groupBy("sid", F.col("l.sid").alias("leader")).agg(F.count("*").alias("votes"))
-    best = written(votes.groupBy("sid").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader")), "leaders")
+    best = written(votes.groupBy("sid").agg(F.max_by("leader", F.struct("votes", "leader")).alias("named")).withColumn("leader", F.col("named")), "leaders")
+    direct = best.select(F.col("sid").alias("leader"), F.col("named").alias("next"))
+    for _ in range(hops):
+        best = written(sized_join(best, direct, "leader", "left", 24).select("sid", "named", F.coalesce("next", "leader").alias("leader")), "leaders")
+    tops = best.select("leader").distinct().join(best.select(F.col("sid").alias("leader")), "leader", "left_anti")
+    best = best.union(tops.select(F.col("leader").alias("sid"), F.col("leader").alias("named"), "leader"))
     parts = best.groupBy("leader").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
-    return written(best.join(parts, "leader").select("sid", "leader", F.pmod(F.xxhash64(F.lit(seed + 1), "sid"), "parts").cast("int").alias("salt"), "parts"), "homes")
+    return written(best.join(parts, "leader").select("sid", "leader", F.pmod(F.xxhash64(F.lit(seed + 1), "named"), "parts").cast("int").alias("salt")), "homes")
+
+
+def forest_of(t: pa.Table, percent: int) -> pa.Table:
+    """A spanning forest of the links among the sets (sid, values[, comp]) of one task; sets of a comp are joined."""
+    sid, at = np.unique(t.column("sid").to_numpy(), return_index=True)
+    column = t.column("values").combine_chunks()
+    sets = [np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in at]
+    n = np.array([len(x) for x in sets], np.int64)
+    rank = np.argsort(n, kind="stable")
+    sid, sets, n = sid[rank], [sets[i] for i in rank], n[rank]
+    comp = np.unique(t.column("comp").to_numpy()[at][rank], return_inverse=True)[1] if "comp" in t.column_names else np.arange(len(n))
+    i, j = band_pairs(n, [bitmap(x, 8) for x in sets], comp, percent, 8)
+    forest, edges = Forest(len(n)), []
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        if forest.find(comp[x]) != forest.find(comp[y]) and linked(sets[x], sets[y], percent):
+            forest.join(comp[x], comp[y])
+            edges.append((min(sid[x], sid[y]), max(sid[x], sid[y])))
+    return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
 
 def resolve(docs: DataFrame, reps: DataFrame, placed: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
-    """A spanning forest (a, b) of the links within each home's parts, written."""
-    leaders = placed.select("leader", "parts").distinct()
-    goes = placed.select("sid", "leader", "salt").union(leaders.select(F.col("leader").alias("sid"), "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")))
-    wanted = written(goes.select("sid").distinct().join(reps, "sid").select("sid", "rep"), "wanted")
-    # Each set's homes are put beside its text's row, so that its array is shuffled once for each home.
-    to = goes.groupBy("sid").agg(F.collect_set(F.struct("leader", "salt")).alias("to"))
-    held = sized_join(per_set(docs, id_col, text, k, wanted, "values", bytes), written(to, "to"), "sid", "inner", 80)
-    held = held.select("sid", "values", F.explode("to").alias("x")).select("x.leader", "x.salt", "sid", "values")
-
-    def run(key, t):
-        sid, at = np.unique(t.column("sid").to_numpy(), return_index=True)
-        column = t.column("values").combine_chunks()
-        sets = [np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in at]
-        n = np.array([len(x) for x in sets], np.int64)
-        rank = np.argsort(n, kind="stable")
-        sid, sets, n = sid[rank], [sets[i] for i in rank], n[rank]
-        i, j = band_pairs(n, [bitmap(x) for x in sets], np.arange(len(n)), percent)
-        forest, edges = Forest(len(n)), []
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            if forest.find(x) != forest.find(y) and linked(sets[x], sets[y], percent):
-                forest.join(x, y)
-                edges.append((min(sid[x], sid[y]), max(sid[x], sid[y])))
-        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
-
-    return written(held.groupBy("leader", "salt").applyInArrow(run, "a long, b long"), "links")
+    """A spanning forest (a, b) of the links within each part of a home, written. A set's array is shuffled once."""
+    wanted = written(placed.select("sid").join(reps, "sid").select("sid", "rep"), "wanted")
+    held = sized_join(per_set(docs, id_col, text, k, wanted, "values", bytes), placed, "sid", "inner", 28)
+    return written(held.groupBy("leader", "salt").applyInArrow(lambda key, t: forest_of(t, percent), "a long, b long"), "links")
 
 
-def bitmap_bits(n: int) -> int:
-    return max(256, 1 << (4 * n - 1).bit_length())
+def bitmap_bits(n: int, per: int) -> int:
+    return max(128, 1 << (per * n - 1).bit_length())
 
 
 def fold(raw: bytes, words: int) -> np.ndarray:
@@ -251,23 +274,23 @@ def fold(raw: bytes, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(np.frombuffer(raw, np.uint64).reshape(-1, words), 0)
 
 
-def bitmap(values: np.ndarray) -> bytes:
-    """A bit for each shingle, in four times as many bits as shingles, rounded up to a power of two."""
-    wide = bitmap_bits(len(values))
+def bitmap(values: np.ndarray, per: int) -> bytes:
+    """A bit for each shingle, in `per` times as many bits as shingles, rounded up to a power of two."""
+    wide = bitmap_bits(len(values), per)
     out = np.zeros(wide // 64, np.uint64)
     at = mix(values) & np.uint64(wide - 1)
     np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
     return out.tobytes()
 
 
-def band_pairs(n: np.ndarray, raw: list[bytes], comp: np.ndarray, percent: int, home=None):
+def band_pairs(n: np.ndarray, raw: list[bytes], comp: np.ndarray, percent: int, per: int, home=None):
     """Index pairs of one shingle's sets (sorted by size) that may link: tiles of fitting sizes, bit counts.
 
     A tile compares in the width of its smallest set's bitmap; larger sets' bitmaps are folded to it.
     """
     i_out, j_out, i = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     while i < len(n):
-        words = bitmap_bits(int(n[i])) // 64
+        words = bitmap_bits(int(n[i]), per) // 64
         edge = max(8, int(((1 << 21) / words) ** 0.5))
         a = slice(i, min(i + edge, len(n)))
         reach = int(np.searchsorted(n, n[a.stop - 1] * 100 // percent, "right"))
@@ -281,10 +304,10 @@ def band_pairs(n: np.ndarray, raw: list[bytes], comp: np.ndarray, percent: int,
             ok &= np.minimum(n[a, None], n[None, b]) * 100 >= np.maximum(n[a, None], n[None, b]) * percent
             x, y = np.nonzero(ok)
             keep = x + i < y + j
-            if home is not None:  # (set, leader, salt): pairs that a home has resolved
-                sid, leader, salt = home
+            if home is not None:  # (leader, salt): pairs that a home has resolved
+                leader, salt = home
                 p, q = x + i, y + j
-                keep &= ~((leader[p] == leader[q]) & (salt[p] == salt[q]) | (leader[p] == sid[q]) | (leader[q] == sid[p]))
+                keep &= (leader[p] != leader[q]) | (salt[p] != salt[q])
             i_out.append(x[keep] + i)
             j_out.append(y[keep] + j)
         i = a.stop
@@ -294,7 +317,7 @@ def band_pairs(n: np.ndarray, raw: list[bytes], comp: np.ndarray, percent: int,
 def tile_pairs(members: DataFrame, placed: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of different components that the bitmaps leave open."""
     wanted = written(members.select("sid").distinct().join(reps, "sid").select("sid", "rep"), "wanted")
-    signed = per_set(docs, id_col, text, k, wanted, "bits", bitmap)
+    signed = per_set(docs, id_col, text, k, wanted, "bits", lambda x: bitmap(x, 2))
     # Groups of one shingle whose sets, components and sizes are those of another's give the same pairs: each set of
     # members is compared once.
     groups = members.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(3), "sid"), 20)).alias("s"))
@@ -307,14 +330,14 @@ def tile_pairs(members: DataFrame, placed: DataFrame, docs: DataFrame, reps: Dat
         rank = np.argsort(n, kind="stable")
         sid, comp, n = t.column("sid").to_numpy()[rank], t.column("comp").to_numpy()[rank], n[rank]
         raw = t.column("bits").to_pylist()
-        home = (sid, t.column("leader").to_numpy()[rank], t.column("salt").to_numpy()[rank])
-        i, j = band_pairs(n, [raw[r] for r in rank], comp, percent, home)
+        home = (t.column("leader").to_numpy()[rank], t.column("salt").to_numpy()[rank])
+        i, j = band_pairs(n, [raw[r] for r in rank], comp, percent, 2, home)
         return pa.table({"a": np.minimum(sid[i], sid[j]), "b": np.maximum(sid[i], sid[j])})
 
     return held.select("token", "sid", "n", "comp", "bits", "leader", "salt").groupBy("token").applyInArrow(run, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = 5, percent: int = 80, seed: int = 5, part: int = 512) -> DataFrame:
+def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = 5, percent: int = 80, seed: int = 5, part: int = 1024) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
     described = describe(docs, id_col, text, k)
@@ -326,7 +349,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     members = shared(prefixes(docs, id_col, text, k, percent, order, buckets))
     placed = homes(members, percent, seed, part)
     links = resolve(docs, reps, placed, id_col, text, k, percent)
-    members = open_tokens(labelled(members, links))
+    comps = component_of(links)
+    members = open_tokens(labelled(members, comps))
     pairs = written(tile_pairs(members, placed, docs, reps, id_col, text, k, percent), "pairs")
     links = links.union(verified(pairs, docs, reps, id_col, text, k, percent))
     comps = components(links).select(F.col("node").alias("sid"), "component")
