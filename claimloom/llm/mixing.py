@@ -70,7 +70,7 @@ def apportion(votes: list[float], seats: int, most: list[int]) -> list[int]:
     return got
 
 
-def mix_sources(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, block: int = 32, shard_docs: int = 20_000, most_shards: int = 4096, seed: int = 17) -> DataFrame:
+def mix_sources(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, block: int = 32, shard_docs: int = 1000, most_shards: int = 4096, seed: int = 17) -> DataFrame:
     """docs with size, source_size, target, taken, and the spans taken: `spans` array<struct<pass, start, length>>.
 
     `weights` repeat over the sources in code-point order. spans count words of the document from 0.
