@@ -172,7 +172,7 @@ def train(texts: list[str], labels: list[int], window: int = 2, dim: int = 8, wa
     return Model(table, float(bias), window)
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", per_class: int = 2000, folds: int = 5, seed: int = 7) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", per_class: int = 1500, folds: int = 5, seed: int = 7) -> Model:
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where("y IN (0, 1) AND id IS NOT NULL")
     known = known.where(~held_out(F.col("id"), folds)).groupBy("id").agg(F.max("y").alias("y"))
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(per_class) for y in (0, 1)]
