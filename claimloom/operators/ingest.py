@@ -56,12 +56,12 @@ def reading_order(lines: DataFrame, page_width: float) -> DataFrame:
     mid, gap = page_width / 2, page_width * 0.04
     wide = (F.col("x0") < mid - gap) & (F.col("x1") > mid + gap) & (F.col("x1") - F.col("x0") > 0.55 * page_width)
     side = F.when(wide, 2).when((F.col("x0") + F.col("x1")) / 2 < mid, 0).otherwise(1)
-    y = F.round("y", 1)
+    y = F.round(F.col("y") * 10).cast("long")
     rows = lines.withColumn("side", side).withColumn("yy", y)
     page = W.partitionBy("page")
     two = (F.sum((F.col("side") == 0).cast("int")).over(page) > 0) & (F.sum((F.col("side") == 1).cast("int")).over(page) > 0)
     # The band: how many full-width lines stand above.
-    above = F.sum((F.col("side") == 2).cast("int")).over(page.orderBy("yy").rangeBetween(W.unboundedPreceding, -0.05))
+    above = F.sum((F.col("side") == 2).cast("int")).over(page.orderBy("yy").rangeBetween(W.unboundedPreceding, -1))
     rows = rows.withColumn("two", two).withColumn("band", F.when(F.col("two"), F.coalesce(above, F.lit(0))).otherwise(0)).withColumn("column", F.when(F.col("two"), F.col("side")).otherwise(0))
     order = W.partitionBy("page").orderBy("band", "column", "yy", "x0", "line_id")
     return rows.withColumn("position", F.row_number().over(order)).drop("side", "yy", "two", "band", "column")
