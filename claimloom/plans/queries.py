@@ -165,6 +165,19 @@ def q12(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
 
 
+_BI = "list_distinct([substr(k, CAST(i AS BIGINT), 2) for i in generate_series(1, greatest(length(k) - 1, 0))])"
+
+
+@query("q13_ngram_containment", f"""
+WITH t AS (SELECT item_id, regexp_replace(text, '[^0-9A-Za-z]', '', 'g') AS k FROM benchmark), g AS (SELECT item_id, {_BI} AS g FROM t)
+SELECT a.item_id AS a, b.item_id AS b, round(CASE WHEN least(len(a.g), len(b.g)) = 0 THEN 0.0 ELSE len(list_intersect(a.g, b.g)) / least(len(a.g), len(b.g)) END, 6) AS overlap
+FROM g a JOIN g b ON b.item_id = a.item_id + 1""")
+def q13(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "benchmark").select("item_id", T.char_ngrams(F.col("text")).alias("g"))
+    a, b = t.select(F.col("item_id").alias("a"), F.col("g").alias("x")), t.select(F.col("item_id").alias("b"), F.col("g").alias("y"))
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(T.containment(F.col("x"), F.col("y")), 6).alias("overlap"))
+
+
 @query("q14_mmr")
 def q14(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("sentence_id"), F.round(T.occurrences(F.col("text"), F.lit("tion")) / (F.length("text") + 1), 6).alias("score"), T.token_set(F.substring("text", 1, 200)).alias("tokens"))
@@ -312,6 +325,20 @@ def q34(spark: SparkSession, d: str) -> DataFrame:
     return C.pending(table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels"), "doc_id")
 
 
+@query("q35_missing", "SELECT doc_id FROM labels l WHERE quality = 1 AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND n_chars >= 800)")
+def q35(spark: SparkSession, d: str) -> DataFrame:
+    found = table(spark, d, "documents").where("n_chars >= 800")
+    return C.pending(table(spark, d, "labels").where("quality = 1").select("doc_id"), found, "doc_id")
+
+
+@query("q36_append_new", """SELECT doc_id, 'old' AS origin FROM labels UNION ALL
+SELECT doc_id, 'new' AS origin FROM documents d WHERE lang = 'fr' AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
+def q36(spark: SparkSession, d: str) -> DataFrame:
+    old = table(spark, d, "labels").select("doc_id", F.lit("old").alias("origin"))
+    new = table(spark, d, "documents").where("lang = 'fr'").select("doc_id", F.lit("new").alias("origin"))
+    return old.unionByName(C.pending(new, old, "doc_id"))
+
+
 @query("q37_last_wins", "SELECT user_id, arg_max(event_id, ts) AS event_id, arg_max(event_type, ts) AS event_type FROM events GROUP BY user_id")
 def q37(spark: SparkSession, d: str) -> DataFrame:
     return C.last_wins(table(spark, d, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", "ts").select("user_id", "event_id", "event_type")
@@ -355,6 +382,18 @@ def q42(spark: SparkSession, d: str) -> DataFrame:
     return E.model_cost(table(spark, d, "events"), [("view", 0.8), ("c", 2.4)], "event_type", "value").select("event_id", "cost")
 
 
+_ANSWER = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query("q43_contain_match", f"""
+WITH p AS (SELECT doc_id, {_ANSWER} AS p FROM documents WHERE lang = 'en'), g AS (SELECT {_ANSWER} AS g FROM benchmark WHERE item_id = 0)
+SELECT doc_id, CASE WHEN p = '' OR g = '' THEN 0 WHEN contains(p, g) THEN 1 ELSE 0 END AS matched FROM p, g""")
+def q43(spark: SparkSession, d: str) -> DataFrame:
+    gold = table(spark, d, "benchmark").where("item_id = 0").select(F.col("text").alias("gold"))  # one row
+    docs = table(spark, d, "documents").where("lang = 'en'")
+    return docs.join(F.broadcast(gold)).select("doc_id", T.contains_answer(F.col("text"), F.col("gold")).alias("matched"))
+
+
 @query("q44_translation_pending", r"""
 SELECT DISTINCT lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS p FROM documents WHERE lang <> 'en' AND lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) NOT IN (SELECT lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) FROM documents JOIN labels USING (doc_id))""")
 def q44(spark: SparkSession, d: str) -> DataFrame:
