@@ -8,24 +8,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import english as E
 from ..functions import text as T
 
 
-def sentence_verdict(text: Column, min_chars: int = 30) -> Column:
-    """The reason to drop a sentence, or null: the first rule that holds, most of them only without a verb."""
-    verb = text.rlike(r"(?i)\b(is|are|was|were|has|have|show\w*|suggest\w*|reveal\w*|indicat\w*|demonstrat\w*|regulat\w*|express\w*)\b")
-    bare = ~verb
-    words = F.split(T.strip(text), r"\s+")
-    tiny = F.size(F.filter(words, lambda w: F.length(w) <= 2))
-    return (
-        F.when(~text.rlike(r"[A-Za-z]{3}"), "no_letters")
-        .when(F.length(text) < 12, "too_short")
-        .when(bare & (F.length(text) < min_chars), "too_short")
-        .when(bare & text.rlike(r"(?i)^\s*(scale )?bars?\b"), "scale_bar")
-        .when(bare & text.rlike(r"(?i)^\s*(received|accepted|published|correspondence)\b"), "front_matter")
-        .when(text.rlike(r"(?i)contributed equally"), "equal_contribution")
-        .when(bare & (F.size(words) >= 16) & (tiny / F.size(words) >= 0.35), "figure_ocr")
-    )
+def sentences_with_verdicts(rows: DataFrame, text: str = "text", min_chars: int = 30) -> DataFrame:
+    """The English sentences of each row, with offset, sentence, keep, reason and removed; dropped ones stay for review."""
+    cut = rows.withColumn("__s", E.segment(text)).select(*[c for c in rows.columns if c != text], F.posexplode("__s").alias("offset", "sentence"))
+    v = cut.withColumn("__v", E.verdict(F.col("sentence"), min_chars))
+    return v.select(*cut.columns[:-1], F.col("__v.text").alias("sentence"), "__v.keep", "__v.reason", "__v.removed")
+
+
+def repaired_chunks(chunks: DataFrame) -> DataFrame:
+    """Sentences cut by chunk ends put together again: chunks are paper_id, chunk, section, page, text.
+
+    A residue goes back over the border by the rule of segmentation; a chunk that ends in no full stop takes the first
+    sentence of the next one of its section, and a word cut by a hyphen is joined. A chunk left empty goes. A fold
+    over a paper's chunks in order.
+    """
+    import re
+
+    import pandas as pd
+
+    whole = re.compile(r"[.!?][\"')\]]*$")
+
+    def joined(last: str, piece: str, same: bool) -> tuple[str, str] | None:
+        if given := E.give_back(last, piece):
+            return given
+        if not (same and last and piece) or whole.search(last):
+            return None
+        if last.endswith("-") and piece[0].islower():
+            return last[:-1] + piece, ""
+        head, *rest = E.sentences_of(piece)
+        return f"{last} {head}", " ".join(rest)
+
+    def fold(p: pd.DataFrame) -> pd.DataFrame:
+        out: list[dict] = []
+        for row in p.sort_values("chunk").to_dict("records"):
+            row["text"] = row["text"] or ""
+            if out and (both := joined(out[-1]["text"].rstrip(), row["text"].lstrip(), out[-1]["section"] == row["section"])):
+                out[-1]["text"], row["text"] = both
+            if row["text"].strip() or not out:
+                out.append(row)
+        return pd.DataFrame(out, columns=p.columns)
+
+    return chunks.groupBy("paper_id").applyInPandas(fold, chunks.schema)
+
+
+def with_sections(lines: DataFrame, by: str, order: str, text: str = "text") -> DataFrame:
+    """`section` (the last heading, at first Front Matter) and `skipped`, true from a stop heading to the next named one."""
+    w = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    head = F.nullif(E.section_of(F.col(text)), F.lit(""))
+    rows = lines.withColumn("section", F.coalesce(F.last(head, ignorenulls=True).over(w), F.lit("Front Matter")))
+    return rows.withColumn("skipped", E.is_stop_section(F.col("section")))
 
 
 def repeated_lines(lines: DataFrame, by: str, page: str, line: str, ratio: float = 0.3, longest: int = 80) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +71,14 @@ def markdown_report(rows: DataFrame, by: str, title: str, lines: list[str]) -> D
     item = F.concat(F.lit("- "), F.concat_ws(" | ", *lines))
     body = F.array_join(F.array_sort(F.collect_list(item)), "\n")
     return rows.groupBy(by).agg(F.concat(F.lit("# "), F.first(title), F.lit("\n\n"), body).alias("markdown"))
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder of spark.checkpoint.dir and read again: lost executors repeat no earlier work.
+
+    Where that is unset, as in tests, a temporary folder of this machine is taken.
+    """
+    root = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='claimloom-')}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
