@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -120,6 +121,16 @@ def unpack(raw: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
+def release() -> None:
+    """Give freed memory back to the system at a task's end: idle workers would hold it through the next stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; other C libraries have none
+
+
 # ---------------------------------------------------------------- numpy text kernels
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, on uint64 arrays."""
@@ -162,7 +173,7 @@ def span(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((prefix[end] - prefix[start]) * _powers(len(prefix))[1][start] + (end - start).astype(np.uint64) * GOLD)
 
 
-def text_chunks(column: pa.Array, limit: int = 2 << 20):
+def text_chunks(column: pa.Array, limit: int = 1 << 19):
     """Pieces (first row, byte array, offsets) of a string or binary column; null counts as empty, rows stay whole."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if len(column) == 0:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BUCKET_BYTES, Forest, components, mix, pack, set_id, shingles, sized_join, text_chunks, unpack, written
+from .common import BUCKET_BYTES, Forest, components, mix, pack, release, set_id, shingles, sized_join, text_chunks, unpack, written
 
 SKETCH = 1 << 18
 SLICE = 1 << 14
@@ -75,6 +75,7 @@ def describe(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
             yield _rows(ids, n, sid, [None] * len(n), [None] * len(n))
         parts = [(i, zlib.compress(sketch[i : i + SLICE].tobytes(), 1)) for i in range(0, SKETCH, SLICE) if sketch[i : i + SLICE].any()]
         yield _rows([None] * len(parts), [None] * len(parts), [None] * len(parts), [p[0] for p in parts], [p[1] for p in parts])
+        release()
 
     def _rows(*columns):
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
@@ -127,11 +128,13 @@ def prefixes(docs: DataFrame, id_col: str, text: str, k: int, percent: int, orde
                         e["token"], e["sid"], e["n"] = s[np.argsort(key, kind="stable")[:p]], set_id(s), len(s)
                         open_.append(e)
                         held += p
-                if held > 1_000_000:
+                if held > 500_000:
                     yield flush()
                     open_, held = [], 0
         if open_:
             yield flush()
+        open_.clear()
+        release()
 
     return docs.select(text).mapInArrow(run, "bucket long, entries binary")
 
@@ -167,6 +170,7 @@ def per_set(docs: DataFrame, id_col: str, text: str, k: int, wanted: DataFrame,
             for at, data, offsets in text_chunks(b.column(0)):
                 out = [(sid, form(s)) for i, s in enumerate(shingles(data, offsets, k)) if len(s) and (sid := set_id(s)) in sids[at + i]]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["sid", name])
+        release()
 
     return kept.select("t", "sids").mapInArrow(run, f"sid long, {name} binary")
 
