@@ -123,7 +123,7 @@ def mmr(candidates: DataFrame, k: int, lam: float = 0.3) -> DataFrame:
     def step(chosen, _):
         left = F.filter("c", lambda x: ~F.exists(chosen, lambda y: y["rn"] == x["rn"]))
         best = F.array_max(F.transform(left, lambda x: F.struct(value(x, chosen).alias("v"), (-x["rn"]).alias("o"))))
-        return F.concat(chosen, F.filter("c", lambda x: x["rn"] == -best["o"]))
+        return F.concat(chosen, F.array(F.get("c", -best["o"] - 1)))  # rn is the place in c; best is worked out once
 
     start = F.filter("c", lambda x: F.lit(False))
     prefix = F.slice("c", 1, k)

@@ -198,9 +198,11 @@ def q13(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q14_mmr")
 def q14(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("sentence_id"), F.round(T.occurrences(F.col("text"), F.lit("tion")) / (F.length("text") + 1), 6).alias("score"), T.token_set(F.substring("text", 1, 200)).alias("tokens"))
+    k, limit = X.recall_budget(5)
+    docs = table(spark, d, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("sentence_id"), F.round(T.occurrences(F.col("text"), F.lit("tion")) / (F.length("text") + 1), 6).alias("score"), "text")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "sentence_id")
-    return R.mmr(docs.withColumn("n", F.row_number().over(w)).where("n <= 20").drop("n"), 5)
+    top = docs.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit)
+    return R.mmr(top.select("query_id", "sentence_id", "score", T.token_set(F.col("text")).alias("tokens")), k)
 
 
 @query("q15_finalize_pools", f"""
@@ -232,11 +234,12 @@ _HEADS = ["综上所述，", "（1）", "该成果发表了题为", "本研究
 _ZH = f"""z AS (SELECT conv_id, turn, CASE (conv_id + turn) % 6 {' '.join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(_HEADS))} ELSE '' END || CASE WHEN turn % 2 = 0 THEN text ELSE substr(text, 1, 9) END AS x FROM conversations)"""
 
 
-def _headed(spark: SparkSession, d: str) -> DataFrame:
+def _headed(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     at, head = (F.col("conv_id") + F.col("turn")) % 6, F.lit("")
     for i, h in enumerate(_HEADS):
         head = F.when(at == i, F.lit(h)).otherwise(head)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.concat(head, F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.substring("text", 1, 9))).alias("x"))
+    text = F.col("text") if whole else F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.substring("text", 1, 9))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.concat(head, text).alias("x"))
 
 
 @query("q18_rule_roles", f"WITH {_ZH} SELECT conv_id, turn, {_ROLE} AS role, CASE WHEN {_ROLE} IS NOT NULL THEN false WHEN regexp_matches(x, '{C.SCIENCE}') AND length(trim(x)) >= 20 THEN true ELSE length(trim(x)) >= 40 END AS keep FROM z")
@@ -546,3 +549,17 @@ def q51(spark: SparkSession, d: str) -> DataFrame:
     board, _ = X.search_rounds(claims, search, max_rounds=2)
     out = X.finalize(claims.select("claim_id"), board, s)
     return out.select("claim_id", "verdict", "candidate_count", F.transform(F.coalesce("evidences", F.array()), lambda e: e["sentence_id"].cast("string")).alias("evidence_ids"))
+
+
+# q18 and q19 over whole texts.
+_ZH_WHOLE = f"""z AS (SELECT conv_id, turn, CASE (conv_id + turn) % 6 {' '.join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(_HEADS))} ELSE '' END || text AS x FROM conversations)"""
+
+
+@query("q52_rule_roles_whole", f"WITH {_ZH_WHOLE} SELECT conv_id, turn, {_ROLE} AS role, CASE WHEN {_ROLE} IS NOT NULL THEN false WHEN regexp_matches(x, '{C.SCIENCE}') AND length(trim(x)) >= 20 THEN true ELSE length(trim(x)) >= 40 END AS keep FROM z")
+def q52(spark: SparkSession, d: str) -> DataFrame:
+    return _headed(spark, d, whole=True).select("conv_id", "turn", C.drop_role(F.col("x")).alias("role"), C.default_keep(F.col("x"), F.lit("")).alias("keep"))
+
+
+@query("q53_rule_counts_whole", f"WITH {_ZH_WHOLE} SELECT coalesce({_ROLE}, 'kept') AS role, count(*) AS n FROM z GROUP BY 1")
+def q53(spark: SparkSession, d: str) -> DataFrame:
+    return _headed(spark, d, whole=True).groupBy(F.coalesce(C.drop_role(F.col("x")), F.lit("kept")).alias("role")).agg(F.count("*").alias("n"))
