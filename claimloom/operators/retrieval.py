@@ -47,31 +47,53 @@ def snippets(hits: DataFrame, text: str = "text", limit: int = 5) -> DataFrame:
     return hits.withColumn("snippets", F.slice(held, 1, limit))
 
 
+def best_rows(best: pd.DataFrame | None, got: pd.DataFrame, least: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best rows of each q by score, then id; `least` (each q's k-th score so far, ties pass) is brought up to date."""
+    got = got[got["score"].to_numpy() >= least[got["q"].to_numpy()]]
+    if best is not None and not len(got):
+        return best
+    best = (got if best is None else pd.concat([best, got])).sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q").head(k)
+    kth = best.groupby("q")["score"].agg(["size", "min"])
+    kth = kth[kth["size"] == k]
+    least[kth.index.to_numpy()] = kth["min"].to_numpy()
+    return best
+
+
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, most_queries: int = 4096) -> DataFrame:
     """(query_id, vec_id, score, rank): exact cosine top-k of each (query_id, q) among (vec_id, v).
 
-    Query blocks of at most most_queries go to the tasks as one matrix; a task keeps its best k of each query, so the
-    shuffle before the final ranks has k rows for each query and task.
+    The queries are dealt into blocks of at most most_queries, whatever their number; each block goes to the tasks as one
+    matrix in a pass of its own over the vectors. A task keeps its best k of each query, so the shuffle before the final
+    ranks has k rows for each query and task.
     """
-    held = queries.select("query_id", T.l2_normalise(F.col("q")).alias("q")).limit(most_queries + 1).collect()
-    if len(held) > most_queries:
-        raise ValueError("deal the queries in blocks of most_queries")
-    ids = np.array([r["query_id"] for r in held], np.int64)
-    m = np.array([r["q"] for r in held], np.float64)
-
-    def run(parts):
-        best: pd.DataFrame | None = None
-        for p in parts:
-            v = np.stack(p["v"].to_numpy()).astype(np.float64)
-            norm = np.sqrt((v * v).sum(1))
-            s = np.round(m @ (v / np.where(norm > 0, norm, 1)[:, None]).T, 6) + 0.0
-            got = pd.DataFrame({"query_id": np.repeat(ids, len(p)), "vec_id": np.tile(p["vec_id"].to_numpy(), len(ids)), "score": s.ravel()})
-            best = got if best is None else pd.concat([best, got])
-            best = best.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
-
-    found = vectors.select("vec_id", "v").mapInPandas(run, "query_id long, vec_id long, score double") if len(held) else vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    if most_queries < 1:
+        raise ValueError("most_queries must be at least 1")
+    held = queries.select("query_id", T.l2_normalise(F.col("q")).alias("q")).collect()
+
+    def block(rows: list) -> DataFrame:
+        ids = np.array([r["query_id"] for r in rows], np.int64)
+        m = np.array([r["q"] for r in rows], np.float64)
+        step = max(1, 2**20 // len(ids))  # vectors at a time: a task holds about a million scores
+
+        def run(parts):
+            best, least = None, np.full(len(ids), -np.inf)
+            for p in parts:
+                v, names = np.stack(p["v"].to_numpy()).astype(np.float64), p["vec_id"].to_numpy()
+                norm = np.sqrt((v * v).sum(1))
+                v /= np.where(norm > 0, norm, 1)[:, None]
+                for at in range(0, len(v), step):
+                    s = np.round(m @ v[at : at + step].T, 6) + 0.0
+                    q, i = np.nonzero(s >= least[:, None])
+                    best = best_rows(best, pd.DataFrame({"q": q, "id": names[at : at + step][i], "score": s[q, i]}), least, k)
+            if best is not None and len(best):
+                yield pd.DataFrame({"query_id": ids[best["q"].to_numpy()], "vec_id": best["id"].to_numpy(), "score": best["score"].to_numpy()})
+
+        return vectors.select("vec_id", "v").mapInPandas(run, "query_id long, vec_id long, score double")
+
+    found = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    for at in range(0, len(held), most_queries):
+        rows = block(held[at : at + most_queries])
+        found = found.unionByName(rows) if at else rows
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

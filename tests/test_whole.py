@@ -2,8 +2,10 @@
 
 import re
 
+import numpy as np
 import pytest
 
+from claimloom.operators import retrieval as R
 from claimloom.plans.queries import Q
 
 
@@ -51,3 +53,22 @@ def test_rules_see_whole_texts(spark, tmp_path):
     folder = write(spark, tmp_path, "conversations", rows, "conv_id long, turn long, role string, text string")
     assert [(r.role, r.keep) for r in Q["q52_rule_roles_whole"](spark, folder).orderBy("turn").collect()] == [(None, True), (None, False), (None, True)]
     assert [(r.role, r.n) for r in Q["q53_rule_counts_whole"](spark, folder).collect()] == [("kept", 3)]
+
+
+@pytest.mark.parametrize("most", [1, 4, 7, 4096])
+def test_dense_topk_deals_blocks(spark, most):
+    """More queries than a block holds, ties and a zero vector."""
+    r = np.random.default_rng(5)
+    v = r.integers(-2, 3, (60, 4)).astype(float)
+    v[7] = 0
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<double>").repartition(3)
+    queries = vectors.where("vec_id % 4 = 0").selectExpr("vec_id AS query_id", "v AS q")
+    unit = v / np.where((n := np.linalg.norm(v, axis=1)) > 0, n, 1)[:, None]
+    want = {}
+    for q in range(0, 60, 4):
+        score = np.round(unit @ unit[q], 6) + 0.0
+        want[q] = [(i, score[i]) for i in sorted(range(60), key=lambda i: (-score[i], i))[:5]]
+    got = {}
+    for x in R.dense_topk(queries, vectors, 5, most_queries=most).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    assert got == want
