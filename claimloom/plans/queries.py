@@ -132,7 +132,11 @@ SELECT n.chunk_id AS query_id, n.chunk_id, CAST(n.off AS INTEGER) AS "offset", m
 FROM n JOIN s ON s.chunk_id = n.chunk_id AND s.off = n.off WHERE n.score >= 0.08 GROUP BY n.chunk_id, n.off""")
 def q07(spark: SparkSession, d: str) -> DataFrame:
     s = _sentences(spark, d)
-    hits = s.where(F.contains(F.lower("text"), F.lit("tion")) & (F.col("chunk_id") % 10 == 0))
+    return _expanded(s, s.where(F.col("chunk_id") % 10 == 0))
+
+
+def _expanded(s: DataFrame, held: DataFrame) -> DataFrame:
+    hits = held.where(F.contains(F.lower("text"), F.lit("tion")))
     hits = hits.select(F.col("chunk_id").alias("query_id"), "chunk_id", "offset", F.round(T.occurrences(F.col("text"), F.lit("tion")) / 10, 6).alias("score"))
     return R.expand_neighbours(hits, s).select("query_id", "chunk_id", "offset", "score", "sentence_id")
 
@@ -563,3 +567,14 @@ def q52(spark: SparkSession, d: str) -> DataFrame:
 @query("q53_rule_counts_whole", f"WITH {_ZH_WHOLE} SELECT coalesce({_ROLE}, 'kept') AS role, count(*) AS n FROM z GROUP BY 1")
 def q53(spark: SparkSession, d: str) -> DataFrame:
     return _headed(spark, d, whole=True).groupBy(F.coalesce(C.drop_role(F.col("x")), F.lit("kept")).alias("role")).agg(F.count("*").alias("n"))
+
+
+@query("q54_neighbour_expand_all", f"""
+WITH {_SENT}, h AS (SELECT chunk_id, off, round(len(regexp_extract_all(lower(text), 'tion')) / 10.0, 6) AS score FROM s WHERE contains(lower(text), 'tion')),
+n AS (SELECT chunk_id, off + d AS off, round(score * power(0.5, abs(d)), 6) AS score FROM h, (VALUES (-1), (0), (1)) AS v(d))
+SELECT n.chunk_id AS query_id, n.chunk_id, CAST(n.off AS INTEGER) AS "offset", max(n.score) AS score, n.chunk_id || ':' || n.off AS sentence_id
+FROM n JOIN s ON s.chunk_id = n.chunk_id AND s.off = n.off WHERE n.score >= 0.08 GROUP BY n.chunk_id, n.off""")
+def q54(spark: SparkSession, d: str) -> DataFrame:
+    """q07 over the hits of every document."""
+    s = _sentences(spark, d)
+    return _expanded(s, s)

@@ -72,3 +72,11 @@ def test_dense_topk_deals_blocks(spark, most):
     for x in R.dense_topk(queries, vectors, 5, most_queries=most).orderBy("query_id", "rank").collect():
         got.setdefault(x.query_id, []).append((x.vec_id, x.score))
     assert got == want
+
+
+def test_neighbours_of_every_document(spark, tmp_path):
+    text = "first one here. a nation and a station. last one here. far away"
+    rows = [(i, text, "en", "s", len(text)) for i in (3, 10, 17)]
+    folder = write(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r.chunk_id, r.offset, r.score) for r in Q["q54_neighbour_expand_all"](spark, folder).collect()}
+    assert got == {(i, o, v) for i in (3, 10, 17) for o, v in ((0, 0.1), (1, 0.2), (2, 0.1))}
