@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,15 +31,92 @@ def recall_budget(top_k: int | None, multiplier: int = 5) -> tuple[int, int]:
     return k, k * multiplier
 
 
-def keyword_recall(queries: DataFrame, sentences: DataFrame, limit: int, least: int = 5) -> DataFrame:
-    """(query_id, sentence_id, score): the sentences that share most words with the query, an equi-join by word.
+@dataclass(frozen=True)
+class TokenIndex:
+    """The sentences that hold a word of the queries, as codes of those words, and each code's rarity."""
 
-    Stands in for dense recall where there are no vectors. Words of fewer than `least` characters are no keys.
+    codes: dict[str, int]
+    rarity: np.ndarray
+    coded: DataFrame  # sentence_id, codes
+
+
+def token_index(queries: DataFrame, sentences: DataFrame) -> TokenIndex:
+    """One pass over the sentences: words of every length, hot ones included; rarity is ln(1 + sentences / sentences with it)."""
+    words = sorted(r["t"] for r in queries.select(F.explode(T.token_set(F.col("query"))).alias("t")).distinct().collect())
+    kind = sentences.schema["sentence_id"].dataType.simpleString()
+
+    def run(batches):
+        held = pa.array(words, pa.string())
+        for b in batches:
+            lists = b.column(1)
+            at = pc.index_in(lists.flatten(), value_set=held)
+            row = pc.list_parent_indices(lists).to_numpy()
+            known = at.is_valid().to_numpy(zero_copy_only=False)
+            sizes = np.bincount(row[known], minlength=b.num_rows)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, at.drop_null().cast(pa.int32()))], ["sentence_id", "codes"])
+
+    coded = settled(sentences.select("sentence_id", T.token_set(F.col("text")).alias("t")).mapInArrow(run, f"sentence_id {kind}, codes array<int>"), "coded")
+    n = np.ones(len(words))
+    for r in coded.select(F.explode("codes").alias("c")).groupBy("c").count().collect():
+        n[r["c"]] = r["count"]
+    return TokenIndex({w: i for i, w in enumerate(words)}, np.log1p(coded.count() / n), coded.where(F.size("codes") > 0))
+
+
+def keyword_recall(queries: DataFrame, index: TokenIndex, limit: int, most_queries: int = 4096) -> DataFrame:
+    """(query_id, sentence_id, score): the `limit` sentences that share most of the query's words by rarity, ties by id.
+
+    Stands in for dense recall where there are no vectors. Words of every length count. Queries go to the tasks in blocks
+    of most_queries; a task keeps its best `limit` of each, so no hot word is ever a key of a shuffle.
     """
-    words = lambda x: F.filter(T.token_set(x), lambda t: F.length(t) >= least)
-    q = queries.select("query_id", F.size(words(F.col("query"))).alias("n"), F.explode(words(F.col("query"))).alias("t"))
-    s = sentences.select("sentence_id", F.explode(words(F.col("text"))).alias("t"))
-    met = q.join(s, "t").groupBy("query_id", "sentence_id").agg(F.round(F.count("*") / F.first("n"), 6).alias("score"))
+    held = queries.select("query_id", T.token_set(F.col("query")).alias("t")).collect()
+    kinds = ", ".join(f"{c} {t.simpleString()}" for c, t in (("query_id", queries.schema["query_id"].dataType), ("sentence_id", index.coded.schema["sentence_id"].dataType)))
+
+    def block(rows: list) -> DataFrame:
+        lists = [np.array([index.codes[t] for t in r["t"] if t in index.codes], np.int64) for r in rows]
+        code, q = np.concatenate(lists), np.repeat(np.arange(len(rows)), [len(x) for x in lists])
+        weight = index.rarity[code]
+        weight = weight / np.bincount(q, weights=weight, minlength=len(rows))[q]
+        size = np.bincount(code, minlength=len(index.codes))
+        # The words of most work, by sentences and queries, are columns of one matrix; others add up pair by pair.
+        hot = np.argsort(-size * np.expm1(index.rarity) ** -1.0, kind="stable")[:64]
+        place = np.full(len(index.codes), -1)
+        place[hot] = np.arange(len(hot))
+        wide = np.zeros((len(hot), len(rows)))
+        wide[place[code[place[code] >= 0]], q[place[code] >= 0]] = weight[place[code] >= 0]
+        order = np.argsort(code, kind="stable")
+        start, q_of, w_of = np.cumsum(size) - size, q[order], weight[order]
+        ids, n = [r["query_id"] for r in rows], len(rows)
+        step = max(1, 2**20 // n)  # sentences at a time: a task holds about a million scores
+
+        def run(batches):
+            best, least = None, np.zeros(n)
+            for whole in batches:
+                for at in range(0, whole.num_rows, step):
+                    b = whole.slice(at, step)
+                    c, row = b.column(1).flatten().to_numpy(), pc.list_parent_indices(b.column(1)).to_numpy()
+                    m = place[c] >= 0
+                    x = np.zeros((b.num_rows, len(hot)))
+                    x[row[m], place[c[m]]] = 1
+                    s = x @ wide
+                    c, row = c[~m], row[~m]
+                    many = size[c]
+                    entry = np.arange(many.sum()) + np.repeat(start[c] - (np.cumsum(many) - many), many)
+                    s += np.bincount(np.repeat(row, many) * n + q_of[entry], weights=w_of[entry], minlength=s.size).reshape(s.shape)
+                    i, k = np.nonzero((s > 0) & (s >= least - 1e-6))
+                    names = b.column(0).to_numpy(zero_copy_only=False)
+                    best = R.best_rows(best, pd.DataFrame({"q": k, "id": names[i], "score": np.round(s[i, k], 6)}), least, limit)
+            if best is not None and len(best):
+                yield pa.RecordBatch.from_arrays([pa.array(best["q"].to_numpy(), pa.int32()), pa.array(best["id"]), pa.array(best["score"].to_numpy())], ["q", "sentence_id", "score"])
+
+        names = index.coded.sparkSession.createDataFrame([(i, x) for i, x in enumerate(ids)], f"q int, {kinds.rsplit(', ', 1)[0]}")
+        found = index.coded.select("sentence_id", "codes").mapInArrow(run, f"q int, {kinds.rsplit(', ', 1)[1]}, score double")
+        return found.join(F.broadcast(names), "q").select("query_id", "sentence_id", "score")
+
+    met = index.coded.sparkSession.createDataFrame([], f"{kinds}, score double")
+    for at in range(0, len(held), most_queries):
+        rows = block(held[at : at + most_queries])
+        met = met.unionByName(rows) if at else rows
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "sentence_id")
     return met.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit).drop("__n")
 

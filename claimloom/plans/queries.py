@@ -483,21 +483,20 @@ def q46(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q47_semantic_e2e")
 def q47(spark: SparkSession, d: str) -> DataFrame:
-    """Keyword-blocked recall, token rerank, keep, neighbours, diversity and the gate, for all benchmark claims at once."""
+    """Recall by all words, token rerank, keep, neighbours, diversity and the gate, for all benchmark claims at once."""
     claims = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    s = _sentences(spark, d)
-    words = claims.select("query_id", "query", F.explode(F.filter(T.token_set(F.col("query")), lambda x: F.length(x) >= 9)).alias("t"))
-    held = s.select("chunk_id", "offset", "sentence_id", "text", F.explode(T.token_set(F.col("text"))).alias("t"))
-    met = words.join(held, "t").groupBy("query_id", "query", "chunk_id", "offset", "sentence_id", "text").agg(F.count("*").alias("recall"))
-    w = W.partitionBy("query_id").orderBy(F.desc("recall"), "sentence_id")
-    ranked = R.rerank_by_tokens(met.withColumn("n", F.row_number().over(w)).where("n <= 50"))
-    kept = R.keep_filter(ranked, "query_id")
-    near = R.expand_neighbours(kept.select("query_id", "chunk_id", "offset", F.col("rerank_score").alias("score")), s)
-    items = near.join(s.select("sentence_id", T.token_set(F.col("text")).alias("tokens")), "sentence_id").select("query_id", "sentence_id", "score", "tokens")
-    top = items.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "sentence_id"))).where("n <= 30").drop("n")
-    chosen = R.mmr(top, 5).join(items.select("query_id", "sentence_id", "score"), ["query_id", "sentence_id"])
-    return R.gate(claims.select(F.col("query_id").alias("claim_id")), chosen.select(F.col("query_id").alias("claim_id"), "score"))
+    s = settled(_sentences(spark, d), "sentences")
+    _, limit = X.recall_budget(None)
+    recalled = settled(X.keyword_recall(claims, X.token_index(claims, s), limit), "recalled")
+    chosen = X.semantic_search(claims, _around(s, recalled, 1), recalled, top_k=5)
+    return R.gate(claims.select(F.col("query_id").alias("claim_id")), chosen.select(F.col("query_id").alias("claim_id"), F.col("rerank_score").alias("score")))
+
 
+def _around(s: DataFrame, found: DataFrame, window: int) -> DataFrame:
+    """The sentences found and those within `window` of them: as many as the recall budget allows, whatever the corpus."""
+    at = F.split("sentence_id", ":")
+    places = found.select(at[0].cast("long").alias("chunk_id"), F.explode(F.sequence(at[1].cast("int") - window, at[1].cast("int") + window)).alias("offset")).distinct()
+    return settled(s.join(F.broadcast(places), ["chunk_id", "offset"], "left_semi"), "around")
 
 
 @query("q48_segment_verdicts")
@@ -541,17 +540,18 @@ def q51(spark: SparkSession, d: str) -> DataFrame:
     """Rounds of search over all benchmark claims: whole claim first, then their longest words alone; final evidence."""
     claims = table(spark, d, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("query"))
     s = settled(_sentences(spark, d), "sentences")
+    index = X.token_index(claims, s)
 
     def search(open_claims: DataFrame, r: int) -> DataFrame:
         terms = F.slice(F.array_sort(T.token_set(F.col("query")), lambda a, b: F.length(b) - F.length(a)), 1 + 6 * (r - 1), 6)
         q = open_claims.select(F.col("claim_id").alias("query_id"), "query", X.term_query(terms).alias("terms"))
         k, limit = X.recall_budget(5)
-        more = X.keyword_recall(q.select("query_id", F.col("terms").alias("query")), s, limit)
-        recalled = X.recall_union(X.keyword_recall(q, s, limit, least=9), more, limit)
-        return X.semantic_search(q, s, recalled, top_k=k).withColumnRenamed("query_id", "claim_id")
+        more = X.keyword_recall(q.select("query_id", F.col("terms").alias("query")), index, limit)
+        recalled = settled(X.recall_union(X.keyword_recall(q, index, limit), more, limit), "recalled")
+        return X.semantic_search(q, _around(s, recalled, 1), recalled, top_k=k).withColumnRenamed("query_id", "claim_id")
 
     board, _ = X.search_rounds(claims, search, max_rounds=2)
-    out = X.finalize(claims.select("claim_id"), board, s)
+    out = X.finalize(claims.select("claim_id"), board, _around(s, board, 2))
     return out.select("claim_id", "verdict", "candidate_count", F.transform(F.coalesce("evidences", F.array()), lambda e: e["sentence_id"].cast("string")).alias("evidence_ids"))
 
 

@@ -1,5 +1,7 @@
 """Queries that do the whole job, against brute force on small tables."""
 
+import math
+import random
 import re
 
 import numpy as np
@@ -80,3 +82,67 @@ def test_neighbours_of_every_document(spark, tmp_path):
     folder = write(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {(r.chunk_id, r.offset, r.score) for r in Q["q54_neighbour_expand_all"](spark, folder).collect()}
     assert got == {(i, o, v) for i in (3, 10, 17) for o, v in ((0, 0.1), (1, 0.2), (2, 0.1))}
+
+
+class Brute:
+    """The searches of q47 and q51 over a few documents, in plain loops."""
+
+    def __init__(self, docs):
+        self.s = {(i, o): x for i, t in docs for o, x in enumerate(y for y in (z.strip() for z in re.split(r"[.!?\n]+", t)) if y)}
+        self.tok = {k: tokens(x) for k, x in self.s.items()}
+        self.name = {k: f"{k[0]}:{k[1]}" for k in self.s}
+
+    def rarity(self, w):
+        return math.log1p(len(self.s) / max(1, sum(w in t for t in self.tok.values())))
+
+    def first(self, scores, limit):
+        return dict(sorted(scores.items(), key=lambda x: (-x[1], self.name[x[0]]))[:limit])
+
+    def recall(self, query, limit):
+        q = tokens(query)
+        total = sum(map(self.rarity, q))
+        return self.first({k: round(sum(map(self.rarity, q & t)) / total, 6) for k, t in self.tok.items() if q & t}, limit)
+
+    def search(self, query, recalled, k):
+        q = tokens(query)
+        scores = self.first({i: round(len(q & self.tok[i]) / len(q | self.tok[i]), 6) for i in recalled}, 10**9)
+        kept = {i: v for n, (i, v) in enumerate(scores.items()) if v >= 0.08 or n == 0}
+        near = dict(kept)
+        for (c, o), v in kept.items():
+            for d in (-1, 0, 1):
+                x = round(v * 0.5 ** abs(d), 6)
+                if x >= 0.08 and (c, o + d) in self.s:
+                    near[c, o + d] = max(near.get((c, o + d), 0), x)
+        items = self.first(near, 10**9)
+        return {i: items[i] for i in greedy([(v, i, self.tok[i]) for i, v in items.items()], k)}
+
+
+def gate(scores):
+    if not scores:
+        return "NO_EVIDENCE"
+    return "SUPPORTED" if sum(x >= 0.7 for x in scores) >= 2 else "NO_EVIDENCE" if max(scores) < 0.3 else "INCONCLUSIVE"
+
+
+@pytest.fixture(scope="module")
+def searched(spark, tmp_path_factory):
+    """Short words only in some claims, claims of up to 30 words, and a hot word in all sentences."""
+    folder, r = tmp_path_factory.mktemp("searched"), random.Random(11)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.choice([2, 3, 4, 5, 8, 11]))) for _ in range(90)]
+    docs = [(i, ". ".join("the " + " ".join(r.sample(words, r.randint(4, 14))) for _ in range(12))) for i in range(30)]
+    short = [w for w in words if len(w) < 5]
+    sentences = [x for _, t in docs for x in t.split(". ")]
+    claims = [(i, " ".join(r.sample(short if i % 4 == 0 else words, r.randint(5, 16)))) for i in range(12)]
+    claims += [(i, " ".join(sentences[7 * i].split()[: 7 + i % 3]) + " " + " ".join(r.sample(words, i % 6))) for i in range(12, 24)]
+    claims += [(24, "zz yy"), (25, "the"), (26, " ".join(r.sample(words, 80)))]
+    write(spark, folder, "documents", [(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    return write(spark, folder, "benchmark", claims, "item_id long, text string"), Brute(docs), claims
+
+
+def test_semantic_query_finds_by_short_words(spark, searched):
+    folder, brute, claims = searched
+    got = {r.claim_id: (r.candidate_count, r.top_score, r.verdict) for r in Q["q47_semantic_e2e"](spark, folder).collect()}
+    want = {}
+    for i, text in claims:
+        scores = list(brute.search(text, brute.recall(text, 50), 5).values())
+        want[i] = (len(scores), max(scores, default=0.0), gate(scores))
+    assert got == want and want[0][0] == 5
