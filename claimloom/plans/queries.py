@@ -550,7 +550,7 @@ def q51(spark: SparkSession, d: str) -> DataFrame:
         recalled = settled(X.recall_union(X.keyword_recall(q, index, limit), more, limit), "recalled")
         return X.semantic_search(q, _around(s, recalled, 1), recalled, top_k=k).withColumnRenamed("query_id", "claim_id")
 
-    board, _ = X.search_rounds(claims, search, max_rounds=2)
+    board, _ = X.search_rounds(claims, search)
     out = X.finalize(claims.select("claim_id"), board, _around(s, board, 2))
     return out.select("claim_id", "verdict", "candidate_count", F.transform(F.coalesce("evidences", F.array()), lambda e: e["sentence_id"].cast("string")).alias("evidence_ids"))
 

@@ -146,3 +146,24 @@ def test_semantic_query_finds_by_short_words(spark, searched):
         scores = list(brute.search(text, brute.recall(text, 50), 5).values())
         want[i] = (len(scores), max(scores, default=0.0), gate(scores))
     assert got == want and want[0][0] == 5
+
+
+def test_search_rounds_query(spark, searched):
+    folder, brute, claims = searched
+    got = {r.claim_id: (r.verdict, r.candidate_count, r.evidence_ids) for r in Q["q51_search_rounds"](spark, folder).collect()}
+    want, most = {}, 0
+    for i, text in claims:
+        order = sorted(dict.fromkeys(x for x in re.findall("[a-z0-9]+", text) if len(x) > 1), key=lambda x: -len(x))
+        board = {}
+        for r in range(12):
+            both = brute.recall(text, 25)
+            for k, v in brute.first(brute.recall(" ".join(order[6 * r : 6 * r + 6]), 25), 20).items():
+                both[k] = max(both.get(k, 0), v)
+            for k, v in brute.search(text, brute.first(both, 25), 5).items():
+                board[k] = max(board.get(k, 0), v)
+            most = max(most, r + 1)
+            if gate(board.values()) != "INCONCLUSIVE":
+                break
+        ids = [brute.name[k] for k, v in brute.first(board, 10**9).items() if v >= 0.08][:12]
+        want[i] = (gate(board.values()), len(board), ids)
+    assert got == want and most == 12
