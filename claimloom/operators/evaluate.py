@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def retrieval_metrics(gold: Column, predicted: Column, k: int) -> Column:
     """hit, recall and precision at k. Without gold all are 1 if nothing is predicted, else 0."""
@@ -20,6 +22,24 @@ def retrieval_metrics(gold: Column, predicted: Column, k: int) -> Column:
     )
 
 
+def answers_held(docs: DataFrame, golds: DataFrame, words: int = 3) -> DataFrame:
+    """(doc_id, items): for every document, the item_ids whose normal answer its own normal text contains.
+
+    An answer's inner words are whole words of a text that contains it, so both sides meet by the answer's second run of
+    `words` words; answers of fewer than words + 2 are compared with every text, as they are few.
+    """
+    a = golds.select("item_id", T.normal_answer(F.col("text")).alias("g")).where("g <> ''").withColumn("w", F.split("g", " "))
+    b = docs.select("doc_id", T.normal_answer(F.col("text")).alias("p")).where("p <> ''")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - words + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, words), " "))
+    long = a.where(F.size("w") >= words + 2).select("item_id", "g", F.array_join(F.slice("w", 2, words), " ").alias("key"))
+    keys = b.withColumn("w", F.split("p", " ")).select("doc_id", F.explode(F.array_distinct(runs)).alias("key"))  # without the text, which a row a run would copy
+    may = keys.join(long, "key").select("doc_id", "item_id", "g")
+    met = b.join(may, "doc_id").where(F.contains("p", "g")).select("doc_id", "item_id")
+    met = met.union(b.join(a.where(F.size("w") < words + 2), F.contains("p", "g")).select("doc_id", "item_id"))
+    lists = met.groupBy("doc_id").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    return docs.select("doc_id").join(lists, "doc_id", "left").select("doc_id", F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
+
+
 def accuracy(gold: Column, predicted: Column, counts: Column | None = None) -> Column:
     """Share of equal values among the rows that count, 0 without any."""
     equal = F.coalesce(gold.eqNullSafe(predicted), F.lit(False)).cast("double")

@@ -578,3 +578,22 @@ def q54(spark: SparkSession, d: str) -> DataFrame:
     """q07 over the hits of every document."""
     s = _sentences(spark, d)
     return _expanded(s, s)
+
+
+@query("q55_ngram_containment_all", f"""
+WITH t AS (SELECT item_id, regexp_replace(text, '[^0-9A-Za-z]', '', 'g') AS k FROM benchmark), g AS (SELECT item_id, {_BI} AS g FROM t)
+SELECT a.item_id AS a, b.item_id AS b, round(CASE WHEN least(len(a.g), len(b.g)) = 0 THEN 0.0 ELSE len(list_intersect(a.g, b.g)) / least(len(a.g), len(b.g)) END, 6) AS overlap
+FROM g a JOIN g b ON a.item_id < b.item_id""")
+def q55(spark: SparkSession, d: str) -> DataFrame:
+    """q13 over all pairs."""
+    t = table(spark, d, "benchmark").select("item_id", T.char_ngrams(F.col("text")).alias("g"))  # a few hundred items
+    a, b = t.select(F.col("item_id").alias("a"), F.col("g").alias("x")), t.select(F.col("item_id").alias("b"), F.col("g").alias("y"))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(T.containment(F.col("x"), F.col("y")), 6).alias("overlap"))
+
+
+@query("q56_contain_match_all", f"""
+WITH p AS (SELECT doc_id, {_ANSWER} AS p FROM documents), g AS (SELECT item_id, {_ANSWER} AS g FROM benchmark)
+SELECT doc_id, list_sort(coalesce(list(item_id) FILTER (p <> '' AND g <> '' AND contains(p, g)), [])) AS items FROM p, g GROUP BY doc_id""")
+def q56(spark: SparkSession, d: str) -> DataFrame:
+    """q43 over all documents and all benchmark rows."""
+    return E.answers_held(table(spark, d, "documents"), table(spark, d, "benchmark"))

@@ -167,3 +167,13 @@ def test_search_rounds_query(spark, searched):
         ids = [brute.name[k] for k, v in brute.first(board, 10**9).items() if v >= 0.08][:12]
         want[i] = (gate(board.values()), len(board), ids)
     assert got == want and most == 12
+
+
+def test_containments_of_all_pairs(spark, tmp_path):
+    items = [(0, "alpha beta gamma delta epsilon"), (1, "short one"), (2, "The alpha, beta gamma delta epsilon"), (3, "?!")]
+    docs = [(1, "xalpha beta gamma delta epsilons", "fr"), (2, "it is a short one here", "en"), (3, "alpha beta gamma", "de"), (4, None, "en"), (5, "alpha beta gamma delta epsilon, short ones", "es")]
+    write(spark, tmp_path, "benchmark", items, "item_id long, text string")
+    folder = write(spark, tmp_path, "documents", docs, "doc_id long, text string, lang string")
+    assert {r.doc_id: r["items"] for r in Q["q56_contain_match_all"](spark, folder).collect()} == {1: [0, 2], 2: [1], 3: [], 4: [], 5: [0, 1, 2]}
+    got = {(r.a, r.b): r.overlap for r in Q["q55_ngram_containment_all"](spark, folder).collect()}
+    assert len(got) == 6 and got[0, 2] == 1.0 and got[1, 3] == 0.0
