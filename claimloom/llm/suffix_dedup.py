@@ -349,8 +349,17 @@ def cut(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def substring_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = 50, gram: int = 26) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row.
+
+    Rows without an id come after all others, in the order they are read: each is a row of its own, deduplicated like any.
+    """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if not docs.where("doc_id IS NULL").isEmpty():
+        top = docs.agg(F.max("doc_id")).first()[0]
+        top = -1 if top is None else top
+        nameless = written(docs.where("doc_id IS NULL").select((F.lit(top + 1).cast("long") + F.monotonically_increasing_id()).alias("doc_id"), "text"), "nameless")
+        out = substring_dedup(docs.where("doc_id IS NOT NULL").unionByName(nameless), "text", "doc_id", length, gram)
+        return out.withColumn("doc_id", F.when(F.col("doc_id") <= top, F.col("doc_id")))
     base = written(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "texts")
     low = base.groupBy("sha").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("sha", "low")
     low = written(low, "copied")

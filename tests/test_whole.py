@@ -1,5 +1,6 @@
 """Queries that do the whole job, against brute force on small tables."""
 
+import hashlib
 import math
 import random
 import re
@@ -7,6 +8,7 @@ import re
 import numpy as np
 import pytest
 
+from claimloom.llm import suffix_dedup
 from claimloom.operators import retrieval as R
 from claimloom.plans.queries import Q
 
@@ -177,3 +179,15 @@ def test_containments_of_all_pairs(spark, tmp_path):
     assert {r.doc_id: r["items"] for r in Q["q56_contain_match_all"](spark, folder).collect()} == {1: [0, 2], 2: [1], 3: [], 4: [], 5: [0, 1, 2]}
     got = {(r.a, r.b): r.overlap for r in Q["q55_ngram_containment_all"](spark, folder).collect()}
     assert len(got) == 6 and got[0, 2] == 1.0 and got[1, 3] == 0.0
+
+
+def test_suffix_dedup_keeps_rows_without_id(spark):
+    r = random.Random(2)
+    a, b, c = ("".join(r.choice("abcdefghijklmnop ") for _ in range(200)) for _ in range(3))
+    rows = [(None, a), (1, a), (None, b), (None, b), (None, c + a[20:120]), (2, None), (None, "x")]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = suffix_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    want = [(1, 200, 0, 0, sha(a)), (2, 0, 0, 0, sha("")), (None, 200, 200, 1, sha("")), (None, 200, 0, 0, sha(b)), (None, 200, 200, 1, sha("")), (None, 300, 100, 1, sha(c)), (None, 1, 0, 0, sha("x"))]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    lone = suffix_dedup.substring_dedup(spark.createDataFrame([(None, a), (None, a)], "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.n_removed) for x in lone) == [(None, 0), (None, 200)]
