@@ -13,7 +13,7 @@ The plan is a list of classes of equal bins. A piece's rank among the pieces of
 wrote the pieces and offset by a prefix sum over tasks, finds its bin and place: no piece moves between tasks.
 
 Defined cases: a null or empty text is the single end token; repeated rows are pieces of their own; a text with the
-special token's string yields its id; an empty table gives an empty table.
+special token's string yields its id; a white-space run too long for tiktoken is encoded all the same; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -48,6 +48,21 @@ def encoder(ranks_path: str):
     return _ENCODERS[ranks_path]
 
 
+def encoded(ranks_path: str, text: str) -> np.ndarray:
+    """The text's ids. A run that tiktoken's regex cannot take, as of a million spaces, goes to the JSON tokenizer."""
+    try:
+        return encoder(ranks_path).encode_to_numpy(text, allowed_special="all")
+    except ValueError as e:
+        if "Max stack size exceeded" not in str(e):
+            raise
+    path = ranks_path.removesuffix(".tiktoken") + ".json"
+    if path not in _ENCODERS:
+        from tokenizers import Tokenizer
+
+        _ENCODERS[path] = Tokenizer.from_file(path)
+    return np.array(_ENCODERS[path].encode(text).ids, np.uint32)
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: a shorter first piece, then full ones."""
     if n <= capacity:
@@ -60,11 +75,11 @@ def pieces(docs: DataFrame, ranks_path: str, capacity: int = 2048, text: str = "
     """Tokenised pieces with the task that made them and their number among that task's pieces of equal length."""
 
     def run(batches):
-        enc, task, seen = encoder(ranks_path), TaskContext.get().partitionId(), {}
+        task, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
             rows = []
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(enc.encode_to_numpy(t.as_py() or "", allowed_special="all").astype("<u4"), np.uint32(END))
+                ids = np.append(encoded(ranks_path, t.as_py() or "").astype("<u4"), np.uint32(END))
                 for p, (start, length) in enumerate(cut(len(ids), capacity)):
                     nth = seen[length] = seen.get(length, -1) + 1
                     rows.append((doc, p, start, length, zlib.crc32(ids[start : start + length].tobytes()), task, nth))

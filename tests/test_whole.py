@@ -4,11 +4,12 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 
-from claimloom.llm import suffix_dedup
+from claimloom.llm import packing, suffix_dedup
 from claimloom.operators import retrieval as R
 from claimloom.plans.queries import Q
 
@@ -191,3 +192,16 @@ def test_suffix_dedup_keeps_rows_without_id(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     lone = suffix_dedup.substring_dedup(spark.createDataFrame([(None, a), (None, a)], "doc_id long, text string")).collect()
     assert sorted((x.doc_id, x.n_removed) for x in lone) == [(None, 0), (None, 200)]
+
+
+@pytest.mark.parametrize("run", [" ", "\n"])
+def test_packing_takes_long_white_space(spark, run):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    text = "a b<|endoftext|>" + run * 1_000_000 + "c é"
+    df = spark.createDataFrame([(1, text), (2, "plain")], "doc_id long, text string")
+    got = packing.pieces(df, public_tokenizers.path("byte_bpe_50k.tiktoken")).where("doc_id = 1").orderBy("piece").collect()
+    ids = np.append(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text).ids, packing.END).astype("<u4")
+    assert [(r.start, r.length) for r in got] == packing.cut(len(ids), 2048)
+    assert [r.ids_crc32 for r in got] == [zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in got]
