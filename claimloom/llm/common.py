@@ -106,6 +106,20 @@ class Forest:
         return i != j
 
 
+def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) of n nodes make a spanning forest: roots hook onto smaller ones, round by round."""
+    root, live, out = np.arange(n), np.arange(len(i)), [np.zeros(0, np.int64)]
+    while len(live):
+        a, b = root[i[live]], root[j[live]]
+        live, a, b = (x[a != b] for x in (live, a, b))
+        high, first = np.unique(np.maximum(a, b), return_index=True)
+        root[high] = np.minimum(a, b)[first]
+        out.append(live[first])
+        while not np.array_equal(root, up := root[root]):
+            root = up
+    return np.concatenate(out)
+
+
 # ---------------------------------------------------------------- packed columns
 def pack(*columns: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(c.tobytes() for c in columns))

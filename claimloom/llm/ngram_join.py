@@ -6,22 +6,29 @@ document's set size and component. The steps:
 1. One pass gives each document its set's size and identity, so that equal sets become one class, and adds up a fixed-
    size count sketch of all shingles of all documents.
 2. Shingles are ordered rare first (by the sketch, then by hash). Sets that link share a shingle among their first
-   n - ceil(t*n) + 1, so only those are exchanged, packed in binary buckets by shingle; what a bucket's task holds is
-   bounded by its share of the whole exchange, and one task sends a shingle of a set once.
-3. Homes: each set names the seeded leader that most of its shingles' groups name; leaders of leaders make homes, which
-   are split where large. A set goes once to its home, and a home's sets are resolved among themselves: bitmaps, then
-   sorted arrays, skipping pairs that are joined already. This contracts groups of near copies without their pairs.
-4. Tile round: where a shingle's group still spans several components, its sets are sorted by size and compared in
-   tiles of neighbouring size bands; the bit counts of XORed bitmaps bound the overlap from above. The pairs that
-   remain, of different components and homes, are settled by wider bitmaps and then by their sorted arrays.
+   n - ceil(t*n) + 1, so only those are exchanged, packed in binary buckets by shingle; one task sends a shingle of a
+   set once.
+3. Homes: each set names the seeded leader that most of its shingles' groups name; leaders of leaders make homes. A
+   large home is split by the sets' own hashes, and its leader and the sets whose shingles are most shared go to every
+   part. A part's sets are resolved among themselves: bitmaps, then sorted arrays, skipping pairs that are joined
+   already. This contracts groups of near copies without their pairs.
+4. Tile round: where a shingle's group still spans several components, its sets are dealt to tiles of bounded size
+   (the members of its largest component meet only the others) and compared there by size bands; the bit counts of
+   XORed bitmaps bound the overlap from above. A tile gives a spanning forest of the pairs left open, never the pairs.
+   The open sets that hang together are compared again, once each and in tiles, by wider bitmaps, and what these leave
+   open by the sorted arrays; again only a forest of the links comes back.
 5. Components of all links.
 
+No task holds a whole group: parts and tiles are bounded by `part` and `tile`, and the exchange of step 2 deals a
+shingle that the sketch calls common by set as well. What leaves a task is at most one row for each set it holds.
 Every pair of linked sets is either verified or already in one component, so no link between components is lost.
 Shingles are 64-bit hashes; set identity is 64 bits and the size.
 
 Defined cases: A-Z are lowered, words are runs of bytes outside x20 and x09-x0D; fewer words than k make one shingle;
-a null or wordless text has size 0, links with nothing and is its own component; repeated rows link as equal sets;
-very long texts are processed whole; an empty table gives an empty table; other columns of the input are not read.
+a null or wordless text has size 0, links with nothing and is its own component; repeated rows link as equal sets, and
+of two texts under one id each keeps its own size while both carry their groups' smallest id; a row without an id takes the
+group of an equal text that has one, else its component is null and it is compared with nothing; leaders that tie go by hash, then id; very long texts are
+processed whole; an empty table gives an empty table; other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,12 +40,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import BUCKET_BYTES, Forest, components, mix, pack, release, set_id, shingles, sized_join, text_chunks, unpack, written
+from .common import BUCKET_BYTES, Forest, components, mix, pack, release, set_id, shingles, sized_join, spanning, text_chunks, unpack, written
 
 SKETCH = 1 << 18
 SLICE = 1 << 14
 ENTRY = np.dtype([("token", "<u8"), ("sid", "<i8"), ("n", "<i4")])
+#: Shingles of so many bits by the sketch are exchanged by set as well.
+COMMON_BITS = 19
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -111,7 +121,9 @@ def prefixes(docs: DataFrame, id_col: str, text: str, k: int, percent: int, orde
             all_ = np.concatenate(open_)
             # A task sends each (shingle, set) once: equal copies do not pile up.
             all_ = np.unique(all_)
-            at = (all_["token"] % np.uint64(buckets)).astype(np.int64)
+            common = bits[(all_["token"] >> np.uint64(46)).astype(np.int64)] >= COMMON_BITS
+            spread = np.where(common, mix(all_["token"] ^ all_["sid"].view(np.uint64)), all_["token"])
+            at = (spread % np.uint64(buckets)).astype(np.int64)
             rank = np.lexsort((all_["sid"], at))
             all_, at = all_[rank], at[rank]
             cuts = np.flatnonzero(np.diff(at)) + 1
@@ -139,8 +151,8 @@ def prefixes(docs: DataFrame, id_col: str, text: str, k: int, percent: int, orde
     return docs.select(text).mapInArrow(run, "bucket long, entries binary")
 
 
-def shared(packed: DataFrame) -> DataFrame:
-    """(token, sid, n) of the prefix shingles that at least two different sets hold, written."""
+def shared(packed: DataFrame, order) -> DataFrame:
+    """(token, sid, n) of the prefix shingles that at least two different sets hold (or that are common), written."""
 
     def run(key, t):
         parts = [unpack(x.as_py(), *(ENTRY[c] for c in ENTRY.names)) for x in t.column("entries")]
@@ -150,7 +162,8 @@ def shared(packed: DataFrame) -> DataFrame:
         e = np.unique(e)
         fresh = np.concatenate(([True], e["token"][1:] != e["token"][:-1]))
         size = np.diff(np.append(np.flatnonzero(fresh), len(e)))
-        e = e[np.repeat(size > 1, size)]
+        common = order.value[(e["token"] >> np.uint64(46)).astype(np.int64)] >= COMMON_BITS
+        e = e[np.repeat(size > 1, size) | common]
         return pa.table({"token": e["token"].view(np.int64) if len(e) else pa.array([], pa.int64()), "sid": e["sid"].copy(), "n": e["n"].copy()})
 
     return written(packed.groupBy("bucket").applyInArrow(run, "token long, sid long, n int"), "shared")
@@ -162,7 +175,8 @@ def per_set(docs: DataFrame, id_col: str, text: str, k: int, wanted: DataFrame,
     Repeated rows of a representative give repeated rows, which only repeat links.
     """
     kept = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text).alias("t"))
-    kept = sized_join(kept, wanted.groupBy("rep").agg(F.collect_set("sid").alias("sids")), "rep", "inner", 32)
+    asked = wanted.groupBy("rep").agg(F.collect_set("sid").alias("sids"))  # the different texts of one id
+    kept = sized_join(kept, asked, "rep", "inner", 48)
 
     def run(batches):
         for b in batches:
@@ -175,36 +189,28 @@ def per_set(docs: DataFrame, id_col: str, text: str, k: int, wanted: DataFrame,
     return kept.select("t", "sids").mapInArrow(run, f"sid long, {name} binary")
 
 
-def settled(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text: str, k: int, name: str, form, test) -> DataFrame:
-    """The pairs (a, b) for which test(form of a's set, form of b's set, sizes of both) holds, written."""
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(reps, "sid").select("sid", "rep"), "wanted")
-    held = per_set(docs, id_col, text, k, wanted, name, form)
+def dealt(members: DataFrame, key: str, tile: int, seed: int) -> DataFrame:
+    """(key, sid, n, comp, home, i, j, side): the tiles (i, j) of each set of (key, sid, n, comp, home).
 
-    def run(batches):
-        for b in batches:
-            ok = pa.array([test(x.as_py(), y.as_py()) for x, y in zip(b.column(2), b.column(3), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
-
-    left = pairs.join(held.select(F.col("sid").alias("a"), F.col(name).alias("u")), "a")
-    both = left.join(held.select(F.col("sid").alias("b"), F.col(name).alias("v")), "b")
-    return written(both.select("a", "b", "u", "v").mapInArrow(run, "a long, b long"), "links")
-
-
-def sized_bitmap(values: np.ndarray, per: int) -> bytes:
-    return len(values).to_bytes(8, "little") + bitmap(values, per)
-
-
-def may_link(x: bytes, y: bytes, percent: int) -> bool:
-    """Whether the bit counts of two sized bitmaps leave the link open."""
-    total, width = int.from_bytes(x[:8], "little") + int.from_bytes(y[:8], "little"), (min(len(x), len(y)) - 8) // 8
-    away = int(np.bitwise_count(fold(x[8:], width) ^ fold(y[8:], width)).sum())
-    return total - away >= 2 * least_overlap(total, percent)
-
-
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
-    """The candidate pairs that link: first by bitmaps of eight bits a shingle, then by the arrays."""
-    open_ = settled(pairs, docs, reps, id_col, text, k, "bits", lambda s: sized_bitmap(s, 8), lambda x, y: may_link(x, y, percent))
-    return settled(open_, docs, reps, id_col, text, k, "values", bytes, lambda x, y: linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
+    A key's sets are split by their hash into parts of about `tile` sets, those of the key's largest component apart.
+    Two parts meet in one tile, side telling them apart; parts of the largest component do not meet one another, as
+    their sets are joined already. A key of at most `tile` sets is one tile.
+    """
+    sizes = members.groupBy(key, "comp").agg(F.count("*").alias("c"))
+    sizes = sizes.groupBy(key).agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max("c").alias("many"), F.sum("c").alias("all"))
+    large = sizes.where(F.col("all") > tile).select(
+        key, "top", F.greatest(F.ceil((F.col("all") - F.col("many")) / tile), F.lit(1)).cast("int").alias("few_parts"), F.ceil(F.col("many") / tile).cast("int").alias("top_parts")
+    )
+    rows = sized_join(members, written(large, "large"), key, "left", 40)
+    few, top = F.coalesce("few_parts", F.lit(1)), F.coalesce("top_parts", F.lit(1))
+    h = F.xxhash64(F.lit(seed), "sid")
+    mine = F.when(F.col("top").isNull(), 0).when(F.col("comp") == F.col("top"), few + F.pmod(h, top)).otherwise(F.pmod(h, few)).cast("int")
+    rows = rows.withColumn("mine", mine)
+    whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    met = F.when(F.col("mine") >= few, F.sequence(F.lit(0), few - 1)).otherwise(F.sequence(F.lit(0), few + top - 1))
+    pairs = F.transform(met, lambda x: F.struct(F.least("mine", x).alias("i"), F.greatest("mine", x).alias("j")))
+    rows = rows.withColumn("tile", F.explode(F.when(F.col("top").isNull(), whole).otherwise(pairs)))
+    return rows.select(key, "sid", "n", "comp", "home", "tile.i", "tile.j", (F.col("mine") == F.col("tile.i")).alias("side"))
 
 
 def component_of(links: DataFrame) -> DataFrame:
@@ -212,9 +218,9 @@ def component_of(links: DataFrame) -> DataFrame:
     return written(components(links).select(F.col("node").alias("sid"), F.col("component").alias("comp")), "comps")
 
 
-def labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """members with `comp`, the component so far (the set itself where it has no link)."""
-    return sized_join(members, comps, "sid", "left", 24).select("token", "sid", "n", F.coalesce("comp", "sid").alias("comp"))
+def labelled(members: DataFrame, state: DataFrame) -> DataFrame:
+    """members with `comp`, the component so far, and `home` (the set itself where it has no link or home)."""
+    return sized_join(members, state, "sid", "left", 32).select("token", "sid", "n", F.coalesce("comp", "sid").alias("comp"), F.coalesce("home", "sid").alias("home"))
 
 
 def open_tokens(members: DataFrame) -> DataFrame:
@@ -223,37 +229,50 @@ def open_tokens(members: DataFrame) -> DataFrame:
     return written(members.join(spans, "token", "left_semi"), "open")
 
 
-def homes(members: DataFrame, percent: int, seed: int, part: int, hops: int = 2) -> DataFrame:
-    """(sid, leader, salt): the home of each set that names a leader or is one, written.
+def homes(members: DataFrame, percent: int, seed: int, part: int, hops: int = 2, pivots: int = 8) -> DataFrame:
+    """(sid, leader, salt): the home of each set that names a leader or is one, and its part there, written.
 
     A set names the leader of fitting size that most of its shingles' groups name. A leader's seeded hash is the
-    smallest of its groups, so chains of leaders have no cycle; a home is the leader a few steps up. salt splits a home
-    of more than `part` sets, by the leader that its sets name themselves.
+    smallest of its groups, so chains of leaders have no cycle; a home is the leader a few steps up. A home of more
+    than `part` sets is split by the sets' own hashes. Its leader and the `pivots` sets whose shingles' groups are
+    largest are rows of every part, so that parts are joined through them.
     """
-    lead = members.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "sid").alias("h"), "sid", "n")).alias("l"))
+    lead = members.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "sid").alias("h"), "sid", "n")).alias("l"), F.count("*").alias("crowd"))
     fit = F.least("n", "l.n") * 100 >= F.greatest("n", "l.n") * percent
     named = members.join(lead, "token").where((F.col("sid") != F.col("l.sid")) & fit)
-    votes = named.groupBy("sid", F.col("l.sid").alias("leader")).agg(F.count("*").alias("votes"))
-    best = written(votes.groupBy("sid").agg(F.max_by("leader", F.struct("votes", "leader")).alias("named")).withColumn("leader", F.col("named")), "leaders")
-    direct = best.select(F.col("sid").alias("leader"), F.col("named").alias("next"))
+    votes = named.groupBy("sid", F.col("l.sid").alias("leader")).agg(F.count("*").alias("votes"), F.sum("crowd").alias("crowd"))
+    best = votes.groupBy("sid").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader"), F.sum("crowd").alias("crowd"))
+    best = written(best, "leaders")
+    direct = best.select(F.col("sid").alias("leader"), F.col("leader").alias("next"))
     for _ in range(hops):
-        best = written(sized_join(best, direct, "leader", "left", 24).select("sid", "named", F.coalesce("next", "leader").alias("leader")), "leaders")
+        best = written(sized_join(best, direct, "leader", "left", 24).select("sid", "crowd", F.coalesce("next", "leader").alias("leader")), "leaders")
     tops = best.select("leader").distinct().join(best.select(F.col("sid").alias("leader")), "leader", "left_anti")
-    best = best.union(tops.select(F.col("leader").alias("sid"), F.col("leader").alias("named"), "leader"))
-    parts = best.groupBy("leader").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
-    return written(best.join(parts, "leader").select("sid", "leader", F.pmod(F.xxhash64(F.lit(seed + 1), "named"), "parts").cast("int").alias("salt")), "homes")
+    best = best.unionByName(tops.select(F.col("leader").alias("sid"), F.lit(1 << 62).alias("crowd"), "leader"))
+    parts = written(best.groupBy("leader").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")), "parts")
+    large = parts.where("parts > 1")
+    own = sized_join(best, large, "leader", "left", 20).select("sid", "leader", F.pmod(F.xxhash64(F.lit(seed + 1), "sid"), F.coalesce("parts", F.lit(1))).cast("int").alias("salt"))
+    # row_number up to a constant is cut map-side before the exchange, so a large home does not gather.
+    crowded = sized_join(best, large, "leader", "inner", 20)
+    w = W.partitionBy("leader").orderBy(F.desc("crowd"), "sid")
+    shared_by_all = crowded.withColumn("place", F.row_number().over(w)).where(F.col("place") <= pivots + 1)
+    every = shared_by_all.select("sid", "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    return written(own.union(every).distinct(), "homes")
 
 
 def forest_of(t: pa.Table, percent: int) -> pa.Table:
-    """A spanning forest of the links among the sets (sid, values[, comp]) of one task; sets of a comp are joined."""
+    """A spanning forest of the links among the sets (sid, values[, comp, home, side, i, j]) of one task.
+
+    Sets of one comp are joined already; with home, pairs of one home are left out; with tiles i <> j, those of a side.
+    """
     sid, at = np.unique(t.column("sid").to_numpy(), return_index=True)
     column = t.column("values").combine_chunks()
     sets = [np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in at]
     n = np.array([len(x) for x in sets], np.int64)
     rank = np.argsort(n, kind="stable")
-    sid, sets, n = sid[rank], [sets[i] for i in rank], n[rank]
-    comp = np.unique(t.column("comp").to_numpy()[at][rank], return_inverse=True)[1] if "comp" in t.column_names else np.arange(len(n))
-    i, j = band_pairs(n, [bitmap(x, 8) for x in sets], comp, percent, 8)
+    sid, sets, n, at = sid[rank], [sets[i] for i in rank], n[rank], at[rank]
+    comp = np.unique(t.column("comp").to_numpy()[at], return_inverse=True)[1] if "comp" in t.column_names else np.arange(len(n))
+    home, side = tile_sides(t, at)
+    i, j = band_pairs(n, [bitmap(x, 8) for x in sets], comp, percent, 8, home, side)
     forest, edges = Forest(len(n)), []
     for x, y in zip(i.tolist(), j.tolist(), strict=True):
         if forest.find(comp[x]) != forest.find(comp[y]) and linked(sets[x], sets[y], percent):
@@ -262,9 +281,17 @@ def forest_of(t: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
 
+def tile_sides(t: pa.Table, at: np.ndarray):
+    """(home, side) of the rows `at` of a tile; None where they do not part pairs."""
+    if "home" not in t.column_names:
+        return None, None
+    apart = t.column("i")[0] != t.column("j")[0]
+    return t.column("home").to_numpy()[at], t.column("side").to_numpy(zero_copy_only=False)[at] if apart else None
+
+
 def resolve(docs: DataFrame, reps: DataFrame, placed: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
-    """A spanning forest (a, b) of the links within each part of a home, written. A set's array is shuffled once."""
-    wanted = written(placed.select("sid").join(reps, "sid").select("sid", "rep"), "wanted")
+    """A spanning forest (a, b) of the links within each part of a home, written."""
+    wanted = written(placed.select("sid").distinct().join(reps, "sid").select("sid", "rep"), "wanted")
     held = sized_join(per_set(docs, id_col, text, k, wanted, "values", bytes), placed, "sid", "inner", 28)
     return written(held.groupBy("leader", "salt").applyInArrow(lambda key, t: forest_of(t, percent), "a long, b long"), "links")
 
@@ -287,16 +314,18 @@ def bitmap(values: np.ndarray, per: int) -> bytes:
     return out.tobytes()
 
 
-def band_pairs(n: np.ndarray, raw: list[bytes], comp: np.ndarray, percent: int, per: int, home=None):
-    """Index pairs of one shingle's sets (sorted by size) that may link: tiles of fitting sizes, bit counts.
+def band_pairs(n: np.ndarray, raw: list[bytes], comp: np.ndarray, percent: int, per: int, home=None, side=None):
+    """Index pairs of one task's sets (sorted by size) that may link: tiles of fitting sizes, bit counts.
 
-    A tile compares in the width of its smallest set's bitmap; larger sets' bitmaps are folded to it.
+    A tile compares in the width of its smallest set's bitmap; larger sets' bitmaps are folded to it. Pairs of one
+    comp, of one home or of one side are left out.
     """
     i_out, j_out, i = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     while i < len(n):
         words = bitmap_bits(int(n[i]), per) // 64
         edge = max(8, int(((1 << 21) / words) ** 0.5))
-        a = slice(i, min(i + edge, len(n)))
+        # A band ends a quarter above its smallest set, or folding would fill the others' bitmaps.
+        a = slice(i, min(i + edge, int(np.searchsorted(n, n[i] + n[i] // 4, "right"))))
         reach = int(np.searchsorted(n, n[a.stop - 1] * 100 // percent, "right"))
         left = np.stack([fold(x, words) for x in raw[a]])
         for j in range(i, reach, edge):
@@ -306,57 +335,77 @@ def band_pairs(n: np.ndarray, raw: list[bytes], comp: np.ndarray, percent: int,
             away = np.bitwise_count(left[:, None, :] ^ right[None, :, :]).sum(2, dtype=np.int64)
             ok = (total - away >= 2 * least_overlap(total, percent)) & (comp[a, None] != comp[None, b])
             ok &= np.minimum(n[a, None], n[None, b]) * 100 >= np.maximum(n[a, None], n[None, b]) * percent
+            for parts in (home, side):
+                if parts is not None:
+                    ok &= parts[a, None] != parts[None, b]
             x, y = np.nonzero(ok)
             keep = x + i < y + j
-            if home is not None:  # (leader, salt): pairs that a home has resolved
-                leader, salt = home
-                p, q = x + i, y + j
-                keep &= (leader[p] != leader[q]) | (salt[p] != salt[q])
             i_out.append(x[keep] + i)
             j_out.append(y[keep] + j)
         i = a.stop
     return np.concatenate(i_out), np.concatenate(j_out)
 
 
-def tile_pairs(members: DataFrame, placed: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of different components that the bitmaps leave open."""
+def open_forest(members: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text: str, k: int, percent: int, per: int, tile: int, seed: int) -> DataFrame:
+    """(a, b), written: a spanning forest of the pairs of a shingle's sets that bitmaps of `per` bits a shingle leave open."""
     wanted = written(members.select("sid").distinct().join(reps, "sid").select("sid", "rep"), "wanted")
-    signed = per_set(docs, id_col, text, k, wanted, "bits", lambda x: bitmap(x, 2))
-    # Groups of one shingle whose sets, components and sizes are those of another's give the same pairs: each set of
-    # members is compared once.
-    groups = members.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(3), "sid"), 20)).alias("s"))
-    once = groups.groupBy("c", "x", "s").agg(F.min("token").alias("token")).select("token")
-    signed = signed.join(placed.select("sid", "leader", "salt"), "sid", "left").select("sid", "bits", F.coalesce("leader", "sid").alias("leader"), F.coalesce("salt", F.lit(-1)).alias("salt"))
-    held = members.join(once, "token", "left_semi").join(signed, "sid")
+    signed = per_set(docs, id_col, text, k, wanted, "bits", lambda x: bitmap(x, per))
+    held = dealt(members, "token", tile, seed).join(signed, "sid")
 
     def run(key, t):
         n = t.column("n").to_numpy().astype(np.int64)
         rank = np.argsort(n, kind="stable")
-        sid, comp, n = t.column("sid").to_numpy()[rank], t.column("comp").to_numpy()[rank], n[rank]
+        sid, comp = t.column("sid").to_numpy()[rank], t.column("comp").to_numpy()[rank]
         raw = t.column("bits").to_pylist()
-        home = (t.column("leader").to_numpy()[rank], t.column("salt").to_numpy()[rank])
-        i, j = band_pairs(n, [raw[r] for r in rank], comp, percent, 2, home)
-        return pa.table({"a": np.minimum(sid[i], sid[j]), "b": np.maximum(sid[i], sid[j])})
+        i, j = band_pairs(n[rank], [raw[r] for r in rank], comp, percent, per, *tile_sides(t, rank))
+        tree = spanning(len(sid), i, j)
+        return pa.table({"a": sid[i[tree]], "b": sid[j[tree]]})
+
+    return written(held.groupBy("token", "i", "j").applyInArrow(run, "a long, b long").distinct(), "open")
+
+
+def once_each(members: DataFrame) -> DataFrame:
+    """members without the shingles whose sets are those of another shingle, written: they give the same pairs."""
+    groups = members.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(3), "sid"), 20)).alias("s"))
+    once = groups.groupBy("c", "x", "s").agg(F.min("token").alias("token")).select("token")
+    return written(members.join(once, "token", "left_semi"), "once")
+
+
+def heaps(open_: DataFrame, state: DataFrame, reps: DataFrame) -> DataFrame:
+    """(heap, sid, n, comp, home), written: the sets that open pairs hold together, each once.
+
+    state: (sid, comp, home) of every set with a component or a home.
+    """
+    groups = components(open_).select(F.col("node").alias("sid"), F.col("component").alias("heap"))
+    return written(groups.join(state, "sid", "left").join(reps, "sid").select("heap", "sid", "n", F.coalesce("comp", "sid").alias("comp"), F.coalesce("home", "sid").alias("home")), "heaps")
+
 
-    return held.select("token", "sid", "n", "comp", "bits", "leader", "salt").groupBy("token").applyInArrow(run, "a long, b long").distinct()
+def settle(members: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text: str, k: int, percent: int, tile: int, seed: int) -> DataFrame:
+    """A spanning forest (a, b) of the links within heaps, written."""
+    wanted = written(members.select("sid").join(reps, "sid").select("sid", "rep"), "wanted")
+    held = per_set(docs, id_col, text, k, wanted, "values", bytes)
+    held = sized_join(held, written(dealt(members, "heap", tile, seed), "dealt"), "sid", "inner", 64)
+    return written(held.groupBy("heap", "i", "j").applyInArrow(lambda key, t: forest_of(t, percent), "a long, b long"), "links")
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = 5, percent: int = 80, seed: int = 5, part: int = 1024) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+def jaccard_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = 5, percent: int = 80, seed: int = 5, part: int = 1024, tile: int = 4096) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row. A task resolves about `part` sets by arrays, `tile` by bitmaps."""
     spark = docs.sparkSession
     described = describe(docs, id_col, text, k)
     rows = described.where("slice IS NULL").select("doc_id", "n", "sid")
     order = spark.sparkContext.broadcast(rarity(described))
-    reps = written(rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
+    reps = written(rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "reps")
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, math.ceil(total * (100 - percent) / 100 * ENTRY.itemsize / BUCKET_BYTES))
-    members = shared(prefixes(docs, id_col, text, k, percent, order, buckets))
+    members = shared(prefixes(docs, id_col, text, k, percent, order, buckets), order)
     placed = homes(members, percent, seed, part)
     links = resolve(docs, reps, placed, id_col, text, k, percent)
-    comps = component_of(links)
-    members = open_tokens(labelled(members, comps))
-    pairs = written(tile_pairs(members, placed, docs, reps, id_col, text, k, percent), "pairs")
-    links = links.union(verified(pairs, docs, reps, id_col, text, k, percent))
+    # A set's home for pairs that need no second look: any part that holds it, pivots being in several.
+    at_home = placed.groupBy("sid").agg(F.min(F.struct("salt", F.xxhash64("leader", "salt").alias("home")))["home"].alias("home"))
+    state = written(at_home.join(component_of(links), "sid", "full"), "state")
+    members = open_tokens(labelled(members, state))
+    open_ = open_forest(once_each(members), docs, reps, id_col, text, k, percent, 2, tile, seed)
+    links = links.union(settle(heaps(open_, state, reps), docs, reps, id_col, text, k, percent, part, seed))
     comps = components(links).select(F.col("node").alias("sid"), "component")
     grouped = reps.join(comps, "sid", "left").select("sid", "rep", "copies", F.coalesce("component", "sid").alias("component"), F.col("component").isNotNull().alias("linked"))
     low = grouped.where("linked").groupBy("component").agg(F.min("rep").alias("low"))

@@ -71,6 +71,62 @@ def test_ngram_join(docs, none, rows):
     assert ngram_join.jaccard_components(none).count() == 0
 
 
+def near_copies(n, seed, size=60):
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(4000)]
+    base = [r.choice(words) for _ in range(size)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 2, 3, 4, 6])):
+            w[r.randrange(size)] = r.choice(words)
+        rows.append((i, " ".join(w)))
+    rows += [(i, " ".join(r.choice(words) for _ in range(size))) for i in range(n, n + n // 3)]
+    r.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("n,limits", [(150, {"part": 2, "tile": 2}), (3200, {})])
+def test_ngram_join_splits_a_large_group(spark, n, limits):
+    rows = near_copies(n, n)
+    sets, up = {}, {i: i for i, _ in rows}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    holders = {}
+    for i, s in sets.items():
+        for g in s:
+            holders.setdefault(g, []).append(i)
+    for i, s in sets.items():  # only sets that share a shingle can link
+        both = {}
+        for g in s:
+            for j in holders[g]:
+                both[j] = both.get(j, 0) + 1
+        for j, c in both.items():
+            if j < i and 100 * c >= 80 * (len(s) + len(sets[j]) - c):
+                x, y = find(up, i), find(up, j)
+                up[max(x, y)] = min(x, y)
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), **limits).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: find(up, i) for i in sets}
+
+
+def test_spanning_forest_and_bands():
+    from claimloom.llm.common import spanning
+
+    r = np.random.default_rng(2)
+    for n, m in ((1, 0), (30, 20), (200, 3000)):
+        i, j = r.integers(0, n, m), r.integers(0, n, m)
+        tree = spanning(n, i, j)
+        up = {x: x for x in range(n)}
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            a, b = find(up, x), find(up, y)
+            up[max(a, b)] = min(a, b)
+        assert len(tree) == n - len({find(up, x) for x in range(n)})
+    sets = sorted((np.unique(r.integers(0, 1 << 63, int(k), dtype=np.uint64)) for k in (1, 2, 3, *r.integers(300, 1000, 40))), key=len)
+    # A very small set in the task does not blur the bitmaps of large ones.
+    assert not len(ngram_join.band_pairs(np.array([len(s) for s in sets]), [ngram_join.bitmap(s, 2) for s in sets], np.arange(len(sets)), 80, 2)[0])
+
+
 def test_quality(docs, none, rows, spark):
     model = quality.fit(docs)
     got = quality.score(docs, model).collect()
