@@ -3,9 +3,11 @@
 Lines are normalised, hashed and exploded; distinct documents per hash are counted; lines whose hash reaches the
 threshold are dropped and the rest reassembled by position.
 
-Defined cases: a null or empty text is one empty line; every row counts as a document of its own, so repeated rows
-count each time; a line of fewer than `min_chars` code points (after stripping) is never dropped; an empty table gives
-an empty table; other columns pass through unless they clash with the four result columns, which win.
+Defined cases: a null or empty text is one empty line; a key counts once for each document id that has it, so repeated
+rows of one id count once together and rows without an id do not count, though they lose common lines like any; a line
+of fewer than `min_chars` code points (after stripping) is never dropped; very long texts are processed whole; keys
+that tie at the threshold all go; an empty table gives an empty table; other columns pass through whatever their names,
+but for the four result columns, which win.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import small, written
 
+#: Columns of the work, under names that no table has.
+_TAG, _ID, _HIT, _GONE, _LINES, _KEPT = (f"__claimloom_line_{x}" for x in ("tag", "id", "hit", "gone", "lines", "kept"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,25 +40,25 @@ def hashes_of(keys: Column, min_chars: int) -> Column:
 def line_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """docs with `kept_text`, `n_lines`, `n_dropped` and `kept_sha256` appended."""
     base = docs.drop("kept_text", "n_lines", "n_dropped", "kept_sha256")
-    base = base.withColumn("__t", F.xxhash64(text))
+    base = base.withColumn(_TAG, F.xxhash64(F.col(text)))
     # Normalising is the dear step: the hashes are made once and written, and later steps read only them. Rows of one
     # id are told apart by their text's hash, so positions never mix.
-    keyed = written(base.select(F.col(id_col).alias("id"), "__t", hashes_of(keys_of(F.col(text)), min_chars).alias("h")), "keys")
-    lines = keyed.select(F.explode(F.array_distinct(F.array_compact("h"))).alias("h"))
-    common = written(lines.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h"), "lines")
+    keyed = written(base.select(F.col(id_col).alias("id"), F.col(_TAG).alias("t"), hashes_of(keys_of(F.col(text)), min_chars).alias("h")), "keys")
+    lines = keyed.select("id", F.explode(F.array_distinct(F.array_compact("h"))).alias("h"))
+    common = written(lines.groupBy("h").agg(F.count_distinct("id").alias("n")).where(F.col("n") >= min_docs).select("h"), "lines")
     common = F.broadcast(common) if small(common, 16) else common
-    hit = keyed.select("id", "__t", F.posexplode("h").alias("pos", "h")).join(common, "h", "left_semi")
-    hit = written(hit.groupBy("id", F.col("__t").alias("t")).agg(F.collect_set("pos").alias("__gone")), "hits")
-    if small(hit.select(F.explode("__gone")), 24):
+    hit = keyed.select("id", "t", F.posexplode("h").alias("pos", "h")).join(common, "h", "left_semi")
+    hit = written(hit.groupBy(F.col("id").alias(_ID), F.col("t").alias(_HIT)).agg(F.collect_set("pos").alias(_GONE)), "hits")
+    if small(hit.select(F.explode(_GONE)), 24):
         hit = F.broadcast(hit)
-    out = base.join(hit, base[id_col].eqNullSafe(hit["id"]) & (F.col("__t") == F.col("t")), "left").drop("id", "t")
-    out = out.withColumn("__l", lines_of(F.col(text)))
-    kept = F.when(F.col("__gone").isNull(), F.col("__l")).otherwise(F.filter(F.col("__l"), lambda x, i: ~F.array_contains(F.col("__gone"), i)))
-    out = out.withColumn("__kept", kept)
+    out = base.join(hit, base[id_col].eqNullSafe(hit[_ID]) & (base[_TAG] == hit[_HIT]), "left").drop(_ID, _HIT)
+    out = out.withColumn(_LINES, lines_of(F.col(text)))
+    kept = F.when(F.col(_GONE).isNull(), F.col(_LINES)).otherwise(F.filter(F.col(_LINES), lambda x, i: ~F.array_contains(F.col(_GONE), i)))
+    out = out.withColumn(_KEPT, kept)
     return out.withColumns(
         {
-            "kept_text": F.array_join("__kept", "\n"),
-            "n_lines": F.size("__l").cast("long"),
-            "n_dropped": (F.size("__l") - F.size("__kept")).cast("long"),
+            "kept_text": F.array_join(_KEPT, "\n"),
+            "n_lines": F.size(_LINES).cast("long"),
+            "n_dropped": (F.size(_LINES) - F.size(_KEPT)).cast("long"),
         }
-    ).withColumn("kept_sha256", F.sha2("kept_text", 256)).drop("__l", "__t", "__gone", "__kept")
+    ).withColumn("kept_sha256", F.sha2("kept_text", 256)).drop(_LINES, _TAG, _GONE, _KEPT)
