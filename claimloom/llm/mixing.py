@@ -8,7 +8,8 @@ A document's `taken` is the words of it that chosen blocks cover, so it is at mo
 
 Defined cases: a null text has size 0 and is returned with taken 0; a null source is a source of its own, last in
 order; sources without words have target 0; repeated rows are documents of their own, ordered by the same seeded hash,
-and equal rows are interchangeable; an empty table gives an empty table.
+and equal rows are interchangeable; very long texts are counted whole; other columns pass through whatever their names,
+but for the five result columns, which win; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from .common import BROADCAST_BYTES, written
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -70,38 +73,50 @@ def apportion(votes: list[float], seats: int, most: list[int]) -> list[int]:
     return got
 
 
-def mix_sources(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, block: int = 32, shard_docs: int = 1000, most_shards: int = 4096, seed: int = 17) -> DataFrame:
+#: Columns of the work, under names that no table has.
+_H, _SHARD, _TO, _FROM = (f"__claimloom_mix_{x}" for x in ("h", "shard", "to", "from"))
+_S, _ORD, _SHARDS, _Q_ORD, _Q_SHARD, _BLOCKS, _QUOTA = (f"__claimloom_mix_{x}" for x in ("s", "ord", "shards", "q_ord", "q_shard", "blocks", "quota"))
+
+
+def mix_sources(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, block: int = 32, shard_docs: int = 1000, even_shards: int = 4096, shard_words: int = 1 << 24, seed: int = 17) -> DataFrame:
     """docs with size, source_size, target, taken, and the spans taken: `spans` array<struct<pass, start, length>>.
 
-    `weights` repeat over the sources in code-point order. spans count words of the document from 0.
-    The driver holds one row for each source and shard (at most sources * most_shards rows).
+    `weights` repeat over the sources in code-point order. spans count words of the document from 0. A source has a
+    shard for each `shard_docs` documents up to `even_shards`, and a shard for each `shard_words` words beyond, so a
+    shard's task stays bounded at any size. The driver holds one row for each source and shard.
     """
     spark = docs.sparkSession
     base = docs.drop("size", "source_size", "target", "taken", "spans").withColumn("size", size_of(F.col(text)))
     hashed = F.xxhash64(F.lit(seed), F.col(id_col))
-    small_cols = base.select(F.col(source).alias("s"), hashed.alias("h"), "size")
-    per_source = small_cols.groupBy("s").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()
+    # Counting words is the dear step: sources and shards are summed from one small written table.
+    counted = written(base.select(F.col(source).cast("string").alias("s"), hashed.alias("h"), "size"), "sizes")
+    per_source = counted.groupBy("s").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()
     order = sorted(per_source, key=lambda r: (r["s"] is None, [ord(c) for c in r["s"] or ""]))
-    shards = {r["s"]: max(1, min(most_shards, math.ceil(r["n"] / shard_docs))) for r in order}
+    shards = {r["s"]: max(1, min(even_shards, math.ceil(r["n"] / shard_docs)), math.ceil(r["size"] / shard_words)) for r in order}
     want = targets([r["size"] for r in order], [weights[i % len(weights)] for i in range(len(order))], share, cap)
-    schema = T.StructType([T.StructField("s", T.StringType()), T.StructField("ord", T.IntegerType()), T.StructField("shards", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
-    sources = spark.createDataFrame([(r["s"], i, shards[r["s"]], int(r["size"]), float(want[i])) for i, r in enumerate(order)], schema)
-    shard = F.pmod(F.shiftright(F.col("h"), 20), F.col("shards")).cast("int")
-    dealt = small_cols.join(F.broadcast(sources), small_cols["s"].eqNullSafe(sources["s"])).select(sources["ord"], shard.alias("shard"), "size")
-    sums = {(r["ord"], r["shard"]): int(r["size"]) for r in dealt.groupBy("ord", "shard").agg(F.sum("size").alias("size")).collect()}
+    kinds = T.StructType([T.StructField(_S, T.StringType()), T.StructField(_ORD, T.IntegerType()), T.StructField(_SHARDS, T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
+    sources = spark.createDataFrame([(r["s"], i, shards[r["s"]], int(r["size"]), float(want[i])) for i, r in enumerate(order)], kinds)
+    sources = _bounded(sources, sum(64 + len(r["s"] or "") for r in order))
+    shard_of = lambda h: F.pmod(F.shiftright(h, 20), F.col(_SHARDS)).cast("int")
+    dealt = counted.join(sources, counted["s"].eqNullSafe(sources[_S])).select(_ORD, shard_of(F.col("h")).alias(_SHARD), "size")
+    sums = {(r[_ORD], r[_SHARD]): int(r["size"]) for r in dealt.groupBy(_ORD, _SHARD).agg(F.sum("size").alias("size")).collect()}
     quota = quotas(order, want, sums, block, cap)
-    q_schema = T.StructType([T.StructField("q_ord", T.IntegerType()), T.StructField("q_shard", T.IntegerType()), T.StructField("blocks", T.LongType()), T.StructField("quota", T.LongType())])
-    quota_df = spark.createDataFrame([(o, s, -(-size // block), quota[o, s]) for (o, s), size in sorted(sums.items())], q_schema)
-    out = base.withColumn("h", hashed)
-    out = out.join(F.broadcast(sources), out[source].eqNullSafe(sources["s"])).drop("s").withColumn("shard", shard)
+    kinds = T.StructType([T.StructField(_Q_ORD, T.IntegerType()), T.StructField(_Q_SHARD, T.IntegerType()), T.StructField(_BLOCKS, T.LongType()), T.StructField(_QUOTA, T.LongType())])
+    quota_df = _bounded(spark.createDataFrame([(o, s, -(-size // block), quota[o, s]) for (o, s), size in sorted(sums.items())], kinds), 48 * len(sums))
+    out = base.withColumn(_H, hashed)
+    out = out.join(sources, out[source].cast("string").eqNullSafe(sources[_S])).withColumn(_SHARD, shard_of(F.col(_H)))
     # Where the caller drops the text, Catalyst prunes it below this window: then only ids and sizes are moved.
-    w = W.partitionBy("ord", "shard").orderBy("h", id_col, "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = out.withColumn("to", F.sum("size").over(w)).withColumn("from", F.col("to") - F.col("size"))
-    joined = F.broadcast(quota_df) if len(sums) * 32 <= 32 << 20 else quota_df
-    out = out.join(joined, (F.col("ord") == F.col("q_ord")) & (F.col("shard") == F.col("q_shard")))
+    w = W.partitionBy(_ORD, _SHARD).orderBy(_H, id_col, "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = out.withColumn(_TO, F.sum("size").over(w)).withColumn(_FROM, F.col(_TO) - F.col("size"))
+    out = out.join(quota_df, (F.col(_ORD) == F.col(_Q_ORD)) & (F.col(_SHARD) == F.col(_Q_SHARD)))
     out = out.withColumn("spans", spans_of(block, seed))
     out = out.withColumn("taken", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["length"]))
-    return out.drop("h", "ord", "shard", "shards", "to", "from", "q_ord", "q_shard", "blocks", "quota")
+    return out.drop(_H, _SHARD, _TO, _FROM, _S, _ORD, _SHARDS, _Q_ORD, _Q_SHARD, _BLOCKS, _QUOTA)
+
+
+def _bounded(df: DataFrame, size: int) -> DataFrame:
+    """A frame made on the driver, to be broadcast only where its size is within the bound."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def taken_texts(mixed: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
@@ -167,21 +182,26 @@ def spans_of(block: int, seed: int) -> Column:
     floor((p(i) + 1) * rest / blocks) > floor(p(i) * rest / blocks), p(i) = (i + shift) mod blocks with a seeded shift,
     so exactly `rest` blocks are chosen, spread evenly over the seeded order of the documents.
     """
-    passes, rest = F.expr("quota div greatest(blocks, 1)"), F.expr("quota % greatest(blocks, 1)")
-    shift = F.pmod(F.xxhash64(F.lit(seed), F.col("ord"), F.col("shard")), F.greatest(F.col("blocks"), F.lit(1).cast("long")))
-    whole = F.transform(F.expr("CASE WHEN quota >= blocks AND size > 0 THEN sequence(1L, quota div greatest(blocks, 1)) ELSE array() END"), lambda p: F.struct((p - 1).cast("int").alias("pass"), F.lit(0).cast("long").alias("start"), F.col("size").alias("length")))
-    ids = F.expr(f"CASE WHEN size > 0 THEN sequence(`from` div {block}, (`to` - 1) div {block}) ELSE array() END")
+    quota, blocks, begin, end = F.col(_QUOTA), F.col(_BLOCKS), F.col(_FROM), F.col(_TO)
+    some = F.greatest(blocks, F.lit(1).cast("long"))
+    passes, rest = F.floor(quota / some).cast("long"), quota % some
+    shift = F.pmod(F.xxhash64(F.lit(seed), F.col(_ORD), F.col(_SHARD)), some)
+    none = F.array().cast("array<bigint>")
+    counted = F.when((quota >= blocks) & (F.col("size") > 0), F.sequence(F.lit(1).cast("long"), passes)).otherwise(none)
+    whole = F.transform(counted, lambda p: F.struct((p - 1).cast("int").alias("pass"), F.lit(0).cast("long").alias("start"), F.col("size").alias("length")))
+    of = lambda x: F.floor(x / block).cast("long")
+    ids = F.when(F.col("size") > 0, F.sequence(of(begin), of(end - 1))).otherwise(none)
 
     def inline(i):
-        p = F.pmod(i + shift, F.col("blocks"))
-        return F.floor((p + 1) * rest / F.col("blocks")) > F.floor(p * rest / F.col("blocks"))
+        p = F.pmod(i + shift, blocks)
+        return F.floor((p + 1) * rest / blocks) > F.floor(p * rest / blocks)
 
     part = F.transform(
         F.filter(ids, inline),
         lambda i: F.struct(
             passes.cast("int").alias("pass"),
-            (F.greatest(F.col("from"), i * block) - F.col("from")).alias("start"),
-            (F.least(F.col("to"), (i + 1) * block) - F.greatest(F.col("from"), i * block)).alias("length"),
+            (F.greatest(begin, i * block) - begin).alias("start"),
+            (F.least(end, (i + 1) * block) - F.greatest(begin, i * block)).alias("length"),
         ),
     )
     return F.concat(whole, part)
