@@ -13,7 +13,10 @@ The plan is a list of classes of equal bins. A piece's rank among the pieces of
 wrote the pieces and offset by a prefix sum over tasks, finds its bin and place: no piece moves between tasks.
 
 Defined cases: a null or empty text is the single end token; repeated rows are pieces of their own; a text with the
-special token's string yields its id; a white-space run too long for tiktoken is encoded all the same; an empty table gives an empty table.
+special token's string yields its id; a white-space run too long for tiktoken is encoded all the same;
+very long texts are tokenised whole, one at a time; equal lengths are interchangeable, so ties need no rule; a null id
+stays null; other columns, whatever their names, are not read; an empty table gives an empty table. The scheme runs
+whatever the number of pieces: of few pieces each is a group of its own.
 """
 
 from __future__ import annotations
@@ -113,7 +116,10 @@ def knapsack(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float
 
 
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
-    """(items of each size, bins) from the cutting-stock program's basic solution, rounded down."""
+    """(items of each size, bins) from the cutting-stock program's basic solution.
+
+    Bins are rounded down; then configurations of the largest fractions get a bin more while their items last.
+    """
     basis = np.diag((capacity // sizes).astype(float))
     for _ in range(rounds):
         dual = np.linalg.solve(basis.T, np.ones(len(sizes)))
@@ -124,14 +130,20 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
         ratio = np.where(step > 1e-9, np.maximum(x, 0) / np.where(step > 1e-9, step, 1), np.inf)
         basis[:, int(ratio.argmin())] = column
     x = np.linalg.solve(basis, demand)
-    return [(basis[:, j].round().astype(int), int(n + 1e-6)) for j, n in enumerate(x) if n >= 1]
+    columns, bins = basis.round().astype(int), np.maximum(x + 1e-6, 0).astype(int)
+    left = demand.astype(int) - columns @ bins
+    for j in np.argsort(bins - x, kind="stable"):
+        if x[j] > bins[j] and (columns[:, j] <= left).all():
+            bins[j] += 1
+            left -= columns[:, j]
+    return [(columns[:, j], int(n)) for j, n in enumerate(bins) if n]
 
 
 class Plan:
-    """Classes of equal bins: [bins, room, [(length, copies a bin), ...]]."""
+    """Classes of equal bins: [bins, room, [(length, copies a bin), ...]]; `grouped` items came by configurations."""
 
     def __init__(self, capacity: int):
-        self.capacity, self.classes, self.rooms, self.open = capacity, [], [], {}
+        self.capacity, self.classes, self.rooms, self.open, self.grouped = capacity, [], [], {}, 0
 
     def add(self, bins: int, items: list[tuple[int, int]]) -> None:
         if bins:
@@ -181,7 +193,8 @@ def plan(hist: dict[int, int], capacity: int, groups: int = 40, large: float = 0
     out.add(left.pop(capacity, 0), [(capacity, 1)])
     big = sorted((length for length in left if length > large * capacity), reverse=True)
     total = sum(left[length] for length in big)
-    if total > 4 * groups:
+    groups = min(groups, total)
+    if total:
         members, quota, room = [[]], total / groups, total / groups
         for length in big:  # runs (length, count) of groups of equal cardinality
             n = left[length]
@@ -228,6 +241,7 @@ def plan(hist: dict[int, int], capacity: int, groups: int = 40, large: float = 0
                         if queue[g][0][1] == 0:
                             queue[g].pop(0)
                 out.add(run, list(need.items()))
+                out.grouped += run * sum(need.values())
                 for length, k in need.items():
                     left[length] -= k * run
                 bins -= run
