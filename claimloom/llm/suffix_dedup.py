@@ -17,9 +17,10 @@ on the input, and matches never cross documents. The steps:
 Every string's comparison happens under its own anchor, so nothing rests on sampling; k-grams are 64-bit hashes, and a
 collision only adds segments to compare; segments under one anchor are told apart by another 64-bit hash.
 
-Defined cases: a null text is empty; texts shorter than `length` bytes stay whole; repeated rows of one id (an id names
-one text) are not each other's source and get equal results; empty tables give empty tables; texts are processed whole,
-at most 256 MB each.
+Defined cases: a null text is empty; texts shorter than `length` bytes stay whole; rows of one id are not each other's
+source, whether their texts are equal or not, and each row gets the result of its own text; rows without an id come
+after all others; empty tables give empty tables; texts of any length are processed whole (a long one in windows that
+overlap by `length` - 1 bytes, so that every string lies in one); other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import BUCKET_BYTES, GOLD, byte_prefix, pack, sized_join, span, text_chunks, unpack, written
 
@@ -39,8 +41,23 @@ PLACE = np.uint64((1 << 28) - 1)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
-    """Of the rows' strings: anchor positions, their hashes, and the first and last string that each is the anchor of."""
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int, window: int = 1 << 22):
+    """Of the rows' strings: anchor positions, their hashes, and the first and last string that each is the anchor of.
+
+    More than `window` bytes are taken in windows. An anchor is given by its string alone, so only the runs of strings
+    of one anchor are cut at a window's end, never what is compared.
+    """
+    if len(data) < window + length:
+        return _anchors(data, offsets, length, k)
+    parts = []
+    for at in range(0, len(data), window):
+        piece = data[at : at + window + length - 1]
+        place, h, first, last = _anchors(piece, np.clip(offsets - at, 0, len(piece)), length, k)
+        parts.append((place + at, h, first + at, last + at))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none.astype(np.uint64), none, none
@@ -188,9 +205,11 @@ def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.repeat(start - at, size) + np.arange(int(size.sum()))]
 
 
-def covered(text: np.ndarray, size: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def covered(text: np.ndarray, size: np.ndarray, least: np.ndarray, length: int, shift: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs (segment, first string, end) of distinct segments' strings that a segment of smaller least id also holds.
 
+    The last `shift` bits of a number only tell rows of one id apart.
+
     `text` holds the segments one after the other.
     """
     begin = np.cumsum(size + 1) - size - 1
@@ -206,7 +225,7 @@ def covered(text: np.ndarray, size: np.ndarray, least: np.ndarray, length: int)
     low = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
     np.minimum.at(low, g, least[owner[at]])
     hit = np.zeros(len(symbols) + 1, np.int8)
-    hit[at] = low[g] < least[owner[at]]
+    hit[at] = (low[g] >> shift) < (least[owner[at]] >> shift)
     step = np.diff(hit, prepend=0)
     first, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     return owner[first], first - begin[owner[first]], end - begin[owner[first]]
@@ -226,7 +245,7 @@ def merged(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.
     return d[at], a[at], reach[np.append(at[1:], len(d)) - 1]
 
 
-def ranges(docs: DataFrame, hits: DataFrame, length: int, k: int, buckets: int) -> DataFrame:
+def ranges(docs: DataFrame, hits: DataFrame, length: int, k: int, buckets: int, shift: int) -> DataFrame:
     """(doc_id, a, b): byte ranges to remove, for (doc_id, text) and its shared anchors, written."""
     per_doc = hits.groupBy("doc_id").agg(F.collect_set("h").alias("h"))
     ids = written(hits.select("doc_id").distinct(), "ids")
@@ -244,7 +263,7 @@ def ranges(docs: DataFrame, hits: DataFrame, length: int, k: int, buckets: int)
             h, s, d, a, n, start = (x[order] for x in (h, s, d, a, n, start))
             first = firsts(h, s)
             low = d[first][np.cumsum(first) - 1]
-            ask = d == low
+            ask = (d >> shift) == (low >> shift)
             sure = merged(d[~ask], a[~ask], a[~ask] + n[~ask])
             # Bytes go with the first row of a segment only; a row without bytes has size 0 there.
             size_ = np.where(first, n, 0)[ask]
@@ -300,16 +319,16 @@ def ranges(docs: DataFrame, hits: DataFrame, length: int, k: int, buckets: int)
             seg = np.cumsum(first) - 1
             low = d[first][seg]
             for o, x in zip(out, (d, a, a + n), strict=True):
-                o.append(x[d > low])
+                o.append(x[(d >> shift) > (low >> shift)])
             # Segments of an anchor that has several: the smallest id's bytes, which that row or another of it carries.
             anchor = np.cumsum(firsts(h[first])) - 1
             several = (np.bincount(anchor) > 1)[anchor][seg]
             if several.any():
-                rows = several & (d == low)
+                rows = several & ((d >> shift) == (low >> shift))
                 holder = np.flatnonzero(several & (size > 0))
                 holder = holder[firsts(seg[holder])]
                 text = gather(data, start[holder], size[holder])
-                part, x, y = covered(text, size[holder], low[holder], length)
+                part, x, y = covered(text, size[holder], low[holder], length, shift)
                 # A run of a segment counts wherever the smallest id has the segment.
                 at = np.flatnonzero(rows)
                 left, right = np.searchsorted(seg[at], seg[holder][part], "left"), np.searchsorted(seg[at], seg[holder][part], "right")
@@ -353,24 +372,40 @@ def substring_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     Rows without an id come after all others, in the order they are read: each is a row of its own, deduplicated like any.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     if not docs.where("doc_id IS NULL").isEmpty():
         top = docs.agg(F.max("doc_id")).first()[0]
         top = -1 if top is None else top
         nameless = written(docs.where("doc_id IS NULL").select((F.lit(top + 1).cast("long") + F.monotonically_increasing_id()).alias("doc_id"), "text"), "nameless")
         out = substring_dedup(docs.where("doc_id IS NOT NULL").unionByName(nameless), "text", "doc_id", length, gram)
         return out.withColumn("doc_id", F.when(F.col("doc_id") <= top, F.col("doc_id")))
+    texts = docs.select("doc_id", F.sha2("text", 256).alias("sha"))
+    many = texts.groupBy("doc_id").agg(F.count_distinct("sha").alias("m")).where("m > 1").agg(F.max("m")).first()[0]
+    if many is None:
+        return _dedup(docs, length, gram, 0)
+    # Different texts of one id: rows are numbered in the ids' order, and the last bits tell an id's texts apart.
+    shift = (many - 1).bit_length()
+    ids = written(docs.select("doc_id").distinct().orderBy("doc_id").withColumn("at", F.monotonically_increasing_id()), "ids")
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("sha")) - 1
+    kinds = written(texts.distinct().withColumn("place", place).join(ids, "doc_id").select("doc_id", "sha", (F.shiftleft("at", shift) + F.col("place")).alias("number")), "numbers")
+    told = docs.withColumn("sha", F.sha2("text", 256)).join(kinds, ["doc_id", "sha"])
+    out = _dedup(told.select(F.col("number").alias("doc_id"), "text"), length, gram, shift)
+    return out.withColumnRenamed("doc_id", "number").join(kinds.select("number", "doc_id"), "number").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def _dedup(docs: DataFrame, length: int, gram: int, shift: int) -> DataFrame:
+    """substring_dedup of (doc_id, text), where ids of which all but the last `shift` bits agree are one document's."""
     base = written(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "texts")
     low = base.groupBy("sha").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("sha", "low")
     low = written(low, "copied")
-    base = written(sized_join(base, low, "sha", "left", 100).select("doc_id", "n_bytes", "sha", (F.col("doc_id") > F.coalesce("low", "doc_id")).alias("copy")), "texts")
+    base = written(sized_join(base, low, "sha", "left", 100).select("doc_id", "n_bytes", "sha", (F.shiftright("doc_id", shift) > F.shiftright(F.coalesce("low", "doc_id"), shift)).alias("copy")), "texts")
     copies = base.where("copy").select("doc_id").distinct()
     own = sized_join(docs, written(copies, "copies"), "doc_id", "left_anti", 16)
     total = base.where("NOT copy").agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, math.ceil(total * 2 / (length - gram + 2) * 16 / BUCKET_BYTES))
     hits = shared_anchors(own, length, gram, buckets)
     wide = max(1, math.ceil(hits.count() * 90 / (BUCKET_BYTES // 3)))
-    found = ranges(own, hits, length, gram, wide)
+    found = ranges(own, hits, length, gram, wide, shift)
     done = written(cut(own, found), "cut").distinct()
     empty = hashlib.sha256(b"").hexdigest()
     whole = base.where("copy").select("doc_id", "n_bytes", F.when(F.col("n_bytes") >= length, F.col("n_bytes")).otherwise(F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("n_bytes") >= length, 1).otherwise(0).cast("long").alias("n_spans"), F.when(F.col("n_bytes") >= length, F.lit(empty)).otherwise(F.col("sha")).alias("kept_sha256"))
