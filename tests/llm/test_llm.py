@@ -222,7 +222,10 @@ def test_plan_groups_large_lengths():
     for _ in range(5000):
         n = r.randint(1, 2048)
         hist[n] = hist.get(n, 0) + 1
+    few = packing.best_plan({1500: 2, 1300: 1, 700: 2, 548: 2, 90: 5}, 2048)
+    assert few.grouped >= 3  # the scheme places pieces, however few there are
     p = packing.best_plan(hist, 2048)
+    assert p.grouped >= sum(n for k, n in hist.items() if k > 1024) * 0.9
     assert {k: sum(c[0] * m for c in p.classes for n, m in c[2] if n == k) for k in hist} == hist
     assert all(sum(n * m for n, m in c[2]) + c[1] == 2048 for c in p.classes)
 
@@ -245,6 +248,63 @@ def test_line_dedup(docs, none, rows):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+def clashing(docs, *names):
+    return docs.select("*", *[F.lit("own").alias(n) for n in names])
+
+
+def test_line_dedup_keeps_other_columns_and_counts_ids_once(spark, docs):
+    names = ["id", "t", "h", "pos", "__gone", "n_lines", "__l"]
+    got = line_dedup.line_dedup(clashing(docs, *names))
+    assert got.columns == [*docs.columns[:7], "length", *[n for n in names if n != "n_lines"], "kept_text", "n_lines", "n_dropped", "kept_sha256"]
+    assert {r.id for r in got.select("id").collect()} == {"own"}
+    rows = [(1, "same\nother")] * 12 + [(i, "often") for i in range(20, 30)] + [(None, "often"), (2, "x" * 2_000_000 + "\noften")]
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.n_dropped for r in out if r.doc_id == 1} == {0} and {r.n_dropped for r in out if r.doc_id != 1} == {1}
+
+
+def test_mixing_keeps_other_columns(docs, rows):
+    names = ["h", "shard", "to", "from", "s", "ord", "shards", "blocks", "quota", "q_ord", "n"]
+    got = mixing.mix_sources(clashing(docs, *names))
+    assert {r[0] for r in got.select("shard").collect()} == {"own"} and set(names) <= set(got.columns)
+    assert sorted((r.doc_id, r.taken) for r in got.collect()) == sorted((r.doc_id, r.taken) for r in mixing.mix_sources(docs).collect())
+
+
+def removed(rows, length=50):
+    """Brute force over (id, text): for each row (id, bytes, removed, runs, digest of the rest)."""
+    source, out = {}, []
+    for i, t in rows:
+        b = (t or "").encode()
+        for a in range(len(b) - length + 1):
+            source[b[a : a + length]] = min(i, source.get(b[a : a + length], i))
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for a in range(len(b) - length + 1):
+            if source[b[a : a + length]] < i:
+                gone[a : a + length] = b"\1" * length
+        runs = sum(1 for j in range(len(b)) if gone[j] and (j == 0 or not gone[j - 1]))
+        out.append((i, len(b), sum(gone), runs, hashlib.sha256(bytes(c for c, x in zip(b, gone, strict=True) if not x)).hexdigest()))
+    return sorted(out)
+
+
+def test_suffix_dedup_of_texts_that_share_an_id(spark):
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(200)]
+    runs = [" ".join(r.choice(words) for _ in range(20)) for _ in range(12)]
+    rows = [(i // 3 * 10**15, " ".join(r.choice(runs) for _ in range(r.randint(1, 4))) + f" {i % 5}") for i in range(60)]
+    rows += [rows[4], rows[4], (10**15, None), (10**15, "")]
+    got = suffix_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == removed(rows)
+
+
+def test_suffix_anchors_in_windows_are_those_of_the_whole():
+    r = np.random.default_rng(3)
+    data = r.integers(97, 101, 3000).astype(np.uint8)
+    offsets = np.array([0, 700, 710, 2900, 3000])
+    runs = lambda w: sorted((int(p), int(h), s) for p, h, a, b in zip(*suffix_dedup.anchors(data, offsets, 50, 26, w), strict=True) for s in range(a, b + 1))
+    assert runs(1 << 22) == runs(64) == runs(333)
+
+
 def test_suffix_dedup(docs, none, rows):
     source = {}
     for i, t, *_ in rows:
@@ -289,6 +349,27 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_that_share_an_id(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(6, 80))
+    rows = [(int(i) if i >= 0 else None, [float(x) for x in base[k % 6] + rng.normal(size=80) * 0.1 * (k // 6)]) for k, i in enumerate([1, 1, 2, 3, -1, -1, 4, 1, 5, -1, 6, -1, 7, 8, 9])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=4).collect()
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    near = [[k for k in range(len(rows)) if k != j and unit[j] @ unit[k] >= 0.9] for j in range(len(rows))]
+    want = []
+    for j, (i, _) in enumerate(rows):
+        reach, todo = {j}, [j]
+        while todo:
+            fresh = set(near[todo.pop()]) - reach
+            reach |= fresh
+            todo += fresh
+        low = min((rows[k][0] for k in reach if rows[k][0] is not None), default=None)
+        want.append((i, len(near[j]), low, i == low))
+    key = lambda x: tuple(-1 if v is None else v for v in x)
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=key) == sorted(want, key=key)
+    assert any(want[j][1] for j in range(len(rows)) if rows[j][0] is None)
+
+
 def test_mixing(docs, none, rows):
     got = mixing.mix_sources(docs).collect()
     again = mixing.mix_sources(docs.repartition(3)).collect()
@@ -297,7 +378,16 @@ def test_mixing(docs, none, rows):
     for _, t, _, s, *_ in rows:
         size[s] = size.get(s, 0) + len((t or "").encode().split())
     order = sorted(size, key=lambda s: (s is None, s or ""))
-    want = dict(zip(order, mixing.targets([size[s] for s in order], [(3.0, 1.0, 2.0)[i % 3] for i in range(len(order))], 1.5, 2.0), strict=True))
+    # Water-filling by bisection: target = min(2 size, level * weight), the level such that targets sum to 1.5 of all.
+    weight = {s: (3.0, 1.0, 2.0)[i % 3] for i, s in enumerate(order)}
+    low, high = 0.0, 2.0 * sum(size.values())
+    for _ in range(200):
+        level = (low + high) / 2
+        if sum(min(2 * size[s], level * weight[s]) for s in order) < 1.5 * sum(size.values()):
+            low = level
+        else:
+            high = level
+    want = {s: min(2 * size[s], high * weight[s]) for s in order}
     for s in order:
         own = [r for r in got if r.source == s]
         assert own[0].source_size == size[s] and abs(own[0].target - want[s]) < 1e-6
