@@ -26,28 +26,30 @@ def repaired_chunks(chunks: DataFrame) -> DataFrame:
     sentence of the next one of its section, and a word cut by a hyphen is joined. A chunk left empty goes. A fold
     over a paper's chunks in order.
     """
-    import re
-
     import pandas as pd
 
-    whole = re.compile(r"[.!?][\"')\]]*$")
-
-    def joined(last: str, piece: str, same: bool) -> tuple[str, str] | None:
-        if given := E.give_back(last, piece):
-            return given
-        if not (same and last and piece) or whole.search(last):
-            return None
-        if last.endswith("-") and piece[0].islower():
-            return last[:-1] + piece, ""
-        head, *rest = E.sentences_of(piece)
-        return f"{last} {head}", " ".join(rest)
+    def taken(head: str, piece: str, same: bool) -> tuple[int, str]:
+        """How much of the next chunk goes to the one before, and what stands between the two."""
+        if n := E.residue_size(head, piece):
+            return n, " "
+        if not (same and head and piece) or head.rstrip("\"')]")[-1:] in tuple(".!?"):
+            return 0, ""
+        if head[-1] == "-" and piece[0].islower():
+            return len(piece), "-"
+        return len(E.sentences_of(piece)[0]), " "
 
     def fold(p: pd.DataFrame) -> pd.DataFrame:
         out: list[dict] = []
         for row in p.sort_values("chunk").to_dict("records"):
             row["text"] = row["text"] or ""
-            if out and (both := joined(out[-1]["text"].rstrip(), row["text"].lstrip(), out[-1]["section"] == row["section"])):
-                out[-1]["text"], row["text"] = both
+            if out:
+                head, piece = out[-1]["text"].rstrip(), row["text"].lstrip()
+                n, between = taken(head, piece, out[-1]["section"] == row["section"])
+                if between == " " and n < len(piece):  # sentences are counted in squeezed text
+                    piece = " ".join(piece.split())
+                if n:
+                    out[-1]["text"] = head[:-1] + piece if between == "-" else f"{head} {piece[:n].rstrip()}"
+                    row["text"] = piece[n:].lstrip()
             if row["text"].strip() or not out:
                 out.append(row)
         return pd.DataFrame(out, columns=p.columns)
