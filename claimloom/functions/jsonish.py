@@ -26,7 +26,7 @@ def repair_json(raw: Column) -> Column:
     # A mark follows every string and stands for every wide comma: those right behind a closing quote are the former.
     marked = F.regexp_replace(F.replace(bare, F.lit(_MARK), F.lit("")), rf"(?s)({_STRING})|，", f"$1{_MARK}")
     commas = F.replace(F.replace(marked, F.lit('"' + _MARK), F.lit('"')), F.lit(_MARK), F.lit(","))
-    return F.regexp_replace(commas, rf"(?s)({_STRING})|,(?=[\s,]*[\]}}])", "$1")
+    return F.regexp_replace(commas, rf"(?s)({_STRING})|,[\s,]*(?=[\]}}])", "$1")
 
 
 def without_notes(raw: Column) -> Column:

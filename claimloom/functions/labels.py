@@ -56,6 +56,40 @@ def standardise(level: Column, primary: Column, secondary: Column, severity: Col
     )
 
 
+# Labels of the former taxonomy, which are read and never written.
+LEGACY = (
+    "certainty_amplification", "mechanism_simplification", "scope_generalization", "numerical_distortion", "causality_distortion", "context_stripping",
+    "fact_addition", "semantic_contradiction", "accurate",
+)
+
+
+def is_legacy(label: Column) -> Column:
+    return label.isin(*LEGACY) & ~label.isin(*LEVEL1)
+
+
+def read_view(level: Column, primary_label: Column, primary_type: Column, secondary_label: Column, secondary_types: Column, distorted: Column, accurate: Column) -> Column:
+    """Old and new fields of a classification as one view; labels are read as they are, legacy ones too.
+
+    A missing flag follows from the other one, then from the label, and stays null without evidence.
+    """
+    full = lambda x: F.nullif(F.trim(x), F.lit(""))
+    primary = F.coalesce(full(primary_label), full(primary_type), F.lit(""))
+    others = F.coalesce(F.filter(secondary_types, lambda x: F.coalesce(x, F.lit("")) != ""), F.array().cast("array<string>"))
+    second = F.array_distinct(F.concat(F.array_compact(F.array(full(secondary_label))), others))
+    is_with = F.coalesce(level == EVIDENCE_LEVELS[0], F.lit(False))
+    by_label = F.when(primary.isin("", NO_DISTORTION, "accurate"), F.when(is_with, False)).otherwise(True)
+    derived = F.when(level.isin(*EVIDENCE_LEVELS[1:]), F.lit(None)).when(accurate.isNotNull(), ~accurate).otherwise(by_label)
+    bad = F.coalesce(distorted, derived)
+    return F.struct(
+        level.alias("evidence_level"),
+        bad.alias("has_distortion"),
+        F.coalesce(accurate, F.when(is_with, F.coalesce(~bad, F.lit(False)))).alias("is_accurate"),
+        primary.alias("primary"),
+        F.coalesce(level1_of(primary), F.lit("")).alias("level1"),
+        second.alias("secondary"),
+    )
+
+
 def shape_errors(level: Column, distorted: Column, primary: Column, secondary: Column, severity: Column) -> Column:
     """The rules that a classification breaks, in order."""
     is_with = level == EVIDENCE_LEVELS[0]

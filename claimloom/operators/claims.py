@@ -15,45 +15,148 @@ INTRO_SECTIONS = ("研究背景", "引言", "前言", "背景介绍")
 SIGNIFICANCE = "首次|新靶点|育种|意义重大|为作物|突破|核心作用"
 CAPTION = r"^\s*[（(]?[图表]\s*\d"
 NUMBERED = r"^\s*[（(]\s*\d+\s*[）)]\s*\S"
-PUBLICATION = r"发表了题为|发表题为|刊于|期刊上发表|通讯作者|团队联合|DOI[:：]|doi\.org"
-SCIENCE = "揭示|发现|表明|证明|显示|阐明|证实|暗示|敲除|突变体|表型|调控|表达|机制|转录因子|基因|测序|发育|生长|本研究|该研究|首次|进化"
-DISCOURSE = r"^\s*(下面我们来看|接下来(?:我们)?(?:来看)?|值得注意的是|综上所述|由此可见|总而言之|我们可以看出|让我们来看|如图所示)"
+PUBLICATION = r"(?U)发表了题为|发表题为|刊于|期刊上发表|在[\w\sA-Za-z]{0,40}(期刊|杂志|Nature|Science|Cell|Plant)[^。]{0,24}发表|通讯作者|团队联合|DOI[:：]|doi\.org"
+SCIENCE = (
+    "揭示|发现|表明|证明|显示|阐明|证实|暗示|敲除|突变体|表型|调控|表达|共表达|机制|转录因子|基因|测序|聚类|原位杂交|切片|发育|生长|融合|原基|分生组织|"
+    "本研究|该研究|结果显示|作者发现|首次|构建了|必要条件|分类学|性状|进化|模式植物"
+)
+DISCOURSE = r"^\s*(下面我们来看|接下来(?:我们)?(?:来看)?|值得注意的是|综上所述|由此可见|总而言之|我们可以看出|让我们来看)"
+DISCOURSE_ONLY = r"^\s*(下面我们来看|接下来(?:我们)?(?:来看)?|值得注意的是|综上所述|由此可见|总而言之|我们可以看出|让我们来看|如图所示)\s*[，,。！!？?]?\s*$"
+METHOD = r"测序|构建.{0,8}突变|CRISPR|切片|杂交|实验设计"
+LEAD = "首次|揭示了|以上结果说明|综上所述"
+LIST_CUES = "必要条件|包括以下|分别为|包括：|（1）|\\(1\\)"
+NOT_CLAIMS = (r"^\s*[（(]?[图表]\s*\d", r"^\s*\d+\s*[.、]", r"^\s*公众号\s*[:：]", r"^\s*(参考文献|来源|编辑|排版|责编|图片来源)\s*[:：]?\s*$")
+META_LINES = r"[-*]?\s*(?:来源|来源类型|发布日期|原文链接|对应论文|存档日期|作者)\s*[:：]|\[A\d+\]"
+KEEP_ROLES = ("paper_result", "paper_method", "paper_conclusion", "paper_lead", "paper_intro")
+DROP_ROLES = ("textbook_bg", "publication_meta", "discourse", "caption_heading", "fragment")
+MARKDOWN = (
+    (r"\A[\s\S]*?(?m:^---\s*\n)", ""),
+    (r"!\[.*?\]\(.*?\)", ""),
+    (r"\[([^\]]+)\]\([^)]+\)", "$1"),
+    (r"\*\*([^*]+)\*\*", "$1"),
+    (r"(?m)^#{1,6}\s+", ""),
+    (r"(?m)^---+$", ""),
+    (r"(?m)^>\s+", ""),
+)
+
+
+def clean_markdown(text: Column) -> Column:
+    """The body without its archive header, images, link targets, emphasis, heading and quotation marks."""
+    for pattern, put in MARKDOWN:
+        text = F.regexp_replace(text, pattern, put)
+    return text
+
+
+def without_meta_lines(text: Column) -> Column:
+    """From the first line on that is neither blank nor an archive field."""
+    return F.regexp_replace(text, rf"\A(?:[^\S\n]*(?:(?:{META_LINES})[^\n]*)?(?:\n|\z))+", "")
+
+
+def claim_like(x: Column, min_chars: int = 8) -> Column:
+    """Long enough, holds Chinese, and is no caption, numbered heading or credit line."""
+    s = T.strip(x)
+    out = (F.length(s) >= min_chars) & s.rlike("[一-鿿]")
+    for pattern in NOT_CLAIMS:
+        out &= ~s.rlike(pattern)
+    return out
 
 
 def article_sentences(articles: DataFrame, min_chars: int = 8) -> DataFrame:
     """(article_id, ordinal, section, text): lines to sentences, sections carried forward, captions left out.
 
-    Sentences end at 。！？!? and not at a semicolon, so that numbered lists stay whole.
+    Sentences end at 。！？!? and not at a semicolon, so that numbered lists stay whole. A caption without a full stop
+    goes on in the next line if that is short and has none either.
     """
-    lines = articles.select("article_id", F.posexplode(F.split("text", r"\n")).alias("line_no", "line")).withColumn("line", T.strip(F.col("line")))
-    head = F.col("line").rlike(rf"^({SECTIONS})$")
-    w = W.partitionBy("article_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    lines = lines.withColumn("section", F.coalesce(F.last(F.when(head, F.col("line")), ignorenulls=True).over(w), F.lit("")))
-    body = lines.where(~head & (F.col("line") != "") & ~F.col("line").rlike(CAPTION) & ~F.col("line").rlike(r"^\d{1,2}$"))
+    text = F.regexp_replace(F.regexp_replace("text", "\r", "\n"), r"[ \t]+", " ")
+    lines = articles.select("article_id", F.posexplode(F.split(text, r"\n")).alias("line_no", "line")).withColumn("line", T.strip(F.col("line")))
+    lines = lines.where("line <> ''")
+    head, number, caption = F.col("line").rlike(rf"^({SECTIONS})$"), F.col("line").rlike(r"^\d{1,2}$"), F.col("line").rlike(CAPTION)
+    ended, w = F.col("line").rlike("[。！？!?]$"), W.partitionBy("article_id").orderBy("line_no")
+    lines = lines.withColumn("section", F.coalesce(F.last(F.when(head, F.col("line")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)), F.lit("")))
+    lines = lines.withColumn("wrapped", F.coalesce(F.lag(caption & ~ended).over(w), F.lit(False)) & ~ended & (F.length(T.squeeze(F.col("line"))) <= 40))
+    body = lines.where(~head & ~number & ~caption & ~F.col("wrapped"))
     parts = body.select("article_id", "section", "line_no", F.posexplode(F.split("line", r"(?<=[。！？!?])")).alias("k", "text")).withColumn("text", T.strip(F.col("text")))
-    parts = parts.where(F.length("text") >= min_chars)
+    parts = parts.where(claim_like(F.col("text"), min_chars))
     return parts.withColumn("ordinal", F.row_number().over(W.partitionBy("article_id").orderBy("line_no", "k"))).drop("line_no", "k")
 
 
+def merged_items(sentences: DataFrame) -> DataFrame:
+    """(article_id, cand_id, section, text): numbered items joined to the sentence of their section that lists them.
+
+    A fold over each article's sentences in order, as what was joined decides about the next item.
+    """
+    import re
+
+    import pandas as pd
+
+    numbered, cue = re.compile(NUMBERED), re.compile(LIST_CUES)
+
+    def fold(p: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[str, str]] = []
+        for section, text in p.sort_values("ordinal")[["section", "text"]].itertuples(index=False):
+            text, (at, last) = text.strip(), out[-1] if out else (None, "")
+            lists = numbered.match(last) or last.strip()[-1:] in tuple("：:；;") or cue.search(last)
+            if out and at == section and numbered.match(text) and lists:
+                out[-1] = (at, f"{last.rstrip('；;、，, ')}；{text}")
+            else:
+                out.append((section, text))
+        article = p["article_id"].iloc[0]
+        return pd.DataFrame([(article, i, *x) for i, x in enumerate(out, 1)], columns=["article_id", "cand_id", "section", "text"])
+
+    return sentences.groupBy("article_id").applyInPandas(fold, "article_id string, cand_id int, section string, text string")
+
+
+def article_candidates(articles: DataFrame, min_chars: int = 8) -> DataFrame:
+    """The candidates of articles (article_id, text), from Markdown to merged sentences."""
+    body = articles.select("article_id", without_meta_lines(clean_markdown(F.col("text"))).alias("text"))
+    return merged_items(article_sentences(body, min_chars))
+
+
 def drop_role(text: Column) -> Column:
     """publication_meta, discourse or fragment, or null for a candidate claim."""
     outside = F.regexp_replace(text, r"[《「“\"].*?[》」”\"]", "")
-    rest = F.regexp_replace(F.regexp_replace(text, DISCOURSE + r"[，,]?", ""), r"^[，,。；; ]+|[，,。；; ]+$", "")
-    lead = text.rlike(DISCOURSE)
+    rest = F.regexp_replace(F.regexp_replace(T.strip(text), DISCOURSE + r"[，,]?", ""), r"^[\s，,。；;]+|[\s，,。；;]+$", "")
     return (
         F.when(outside.rlike(PUBLICATION) & ~outside.rlike(SCIENCE), "publication_meta")
-        .when(lead & (rest == ""), "discourse")
+        .when(text.rlike(DISCOURSE_ONLY) | (rest == ""), "discourse")
         .when(text.rlike(NUMBERED) & (F.length(T.squeeze(text)) < 24), "fragment")
-        .when(lead & (F.length(rest) < 16) & ~rest.rlike(SCIENCE), "fragment")
+        .when(text.rlike(DISCOURSE) & (F.length(rest) < 16) & ~rest.rlike(SCIENCE), "fragment")
     )
 
 
 def default_keep(text: Column, section: Column) -> Column:
-    n = F.length(F.trim(text))
+    n = F.length(T.strip(text))
     listed = section.isin(*INTRO_SECTIONS, *SUMMARY_SECTIONS)
     return F.when(drop_role(text).isNotNull(), False).when(listed, n >= 12).when(text.rlike(SCIENCE) & (n >= 20), True).otherwise(n >= 40)
 
 
+def role_guess(text: Column, section: Column) -> Column:
+    """The role without a model: what the rules drop, then by section, then by cue words."""
+    role = F.coalesce(drop_role(text), F.when(section.isin(*INTRO_SECTIONS), "paper_intro"), F.when(section.isin(*SUMMARY_SECTIONS), "paper_conclusion"))
+    return F.coalesce(role, F.when(text.rlike(METHOD), "paper_method"), F.when(text.rlike(LEAD), "paper_lead"), F.lit("paper_result"))
+
+
+def kept_by_role(role: Column) -> Column:
+    return F.when(role.isin(*KEEP_ROLES), True).when(role.isin(*DROP_ROLES), False)
+
+
+def decided(candidates: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:
+    """candidates (text, section, ...) with `keep` and `role`, from decisions (keys, role, keep as text).
+
+    A known role decides, else the flag, else the default; a missing or unknown role of a kept row is guessed, a
+    missing one of a dropped row is fragment.
+    """
+    said = F.lower(T.strip(F.col("__keep")))
+    flag = F.when(said.isin("1", "true", "yes", "y", "keep"), True).when(said.isin("0", "false", "no", "n", "drop"), False)
+    text, section = F.col("text"), F.coalesce("section", F.lit(""))
+    rows = candidates.join(decisions.select(*keys, T.strip(F.coalesce("role", F.lit(""))).alias("__role"), F.col("keep").cast("string").alias("__keep")), keys, "left")
+    rows = rows.withColumn("__role", F.coalesce("__role", F.lit(""))).withColumn("__told", F.coalesce(kept_by_role(F.col("__role")), flag))
+    keep, guess, blank = F.coalesce("__told", default_keep(text, section)), role_guess(text, section), F.col("__role") == ""
+    role = F.when(F.col("__told").isNull(), F.when(blank, guess).otherwise(F.col("__role")))
+    role = F.coalesce(role, F.when(blank, F.when(keep, guess).otherwise("fragment")), F.when(kept_by_role(F.col("__role")).isNull() & keep, guess), F.col("__role"))
+    return rows.withColumns({"keep": keep, "role": role}).drop("__role", "__keep", "__told")
+
+
 def with_context(claims: DataFrame, by: str, order: list[str], text: str = "text") -> DataFrame:
     """claim_id C01.., context_before and context_after within each group."""
     w = W.partitionBy(by).orderBy(*order)
@@ -83,7 +186,8 @@ def locked(review: DataFrame, by: str, key: str = "claim_id", ordinal: str = "or
 
 
 def dedup_summaries(rows: DataFrame, overlap: float = 0.75) -> DataFrame:
-    """Rows of summary sections that repeat an earlier kept row of their article go, unless they bring new significance.
+    """Rows of summary sections that repeat an earlier kept row of their article go, unless they bring significance
+    that the kept row nearest to them lacks.
 
     A fold over each article's rows in order, as a row is compared with those kept so far.
     """
@@ -97,10 +201,9 @@ def dedup_summaries(rows: DataFrame, overlap: float = 0.75) -> DataFrame:
         kept, out = [], []
         for i, (t, section) in enumerate(zip(p["text"], p["section"], strict=True)):
             g = grams(re.sub(r"[^0-9A-Za-z一-鿿]", "", t))
-            if section in SUMMARY_SECTIONS:
-                near = max((len(g & h) / min(len(g), len(h)) for h, _ in kept if g and h), default=0.0)
-                seen = {c for _, u in kept for c in re.findall(SIGNIFICANCE, u)}
-                if near >= overlap and not set(re.findall(SIGNIFICANCE, t)) - seen:
+            if section in SUMMARY_SECTIONS and kept:
+                near, text = max(((len(g & h) / min(len(g), len(h)) if g and h else 0.0, u) for h, u in kept), key=lambda x: x[0])
+                if near >= overlap and not set(re.findall(SIGNIFICANCE, t)) - set(re.findall(SIGNIFICANCE, text)):
                     continue
             kept.append((g, t))
             out.append(i)

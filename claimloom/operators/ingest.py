@@ -172,3 +172,72 @@ def batches(rows: DataFrame, by: str, order: str, size: int) -> DataFrame:
 
 def header_pages(total: int, ratio: float = 0.3) -> int:
     return max(3, math.floor(total * ratio))
+
+
+def join_hyphens(text: Column) -> Column:
+    """A word cut by a hyphen and white space is one word again."""
+    return F.regexp_replace(text, r"(?U)(\w)-\s+(\w)", "$1$2")
+
+
+def is_heading(text: Column, size: Column, bold: Column, body_size: Column, style_run: Column) -> Column:
+    """A short line of at most two of its style, larger or bolder than the body, that is no caption and no sentence."""
+    s = T.strip(F.coalesce(text, F.lit("")))
+    shaped = F.length(s).between(1, 90) & s.rlike("[A-Za-z]{3}") & ~s.rlike(E.CAPTION) & ~s.rlike(r"[.,;:]$") & ~s.rlike(r"\.\s+[A-Z]")
+    return shaped & (style_run <= 2) & ((size >= body_size + 0.8) | (bold & (size >= body_size - 0.3)))
+
+
+def body_size(lines: DataFrame, by: str, size: str = "size", chars: str = "chars", order: str = "line_no") -> DataFrame:
+    """(by, body_size): the font size that most characters have; of equal ones the one met first."""
+    sums = lines.groupBy(by, size).agg(F.sum(chars).alias("n"), F.min(order).alias("first"))
+    return sums.groupBy(by).agg(F.max_by(size, F.struct("n", -F.col("first"))).alias("body_size"))
+
+
+def joined_headings(lines: DataFrame, by: str, order: str = "line_no") -> DataFrame:
+    """Headings that follow each other in one block of one page made one line, in the place of the first."""
+    w = W.partitionBy(by).orderBy(order)
+    goes_on = F.col("is_heading") & F.lag("is_heading").over(w) & (F.lag("block").over(w) == F.col("block")) & (F.lag("page").over(w) == F.col("page"))
+    runs = lines.withColumn("__run", F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    texts = F.array_sort(F.collect_list(F.struct(order, "text")))
+    joined = F.when(F.size(texts) > 1, F.array_join(F.transform(texts, lambda x: T.strip(x["text"])), " ")).otherwise(F.get(texts, F.lit(0))["text"])
+    return runs.groupBy(by, "__run").agg(F.min(order).alias(order), joined.alias("text"), F.min("page").alias("page"), F.min("block").alias("block"), F.first("is_heading").alias("is_heading")).drop("__run")
+
+
+def paper_metadata(heads: DataFrame) -> DataFrame:
+    """(paper_id, title, year) of (paper_id, text): the first line of over fifteen characters with letters, and the latest year."""
+    lines = F.transform(F.split("text", r"\n"), T.strip)
+    title = F.get(F.filter(lines, lambda x: (F.length(x) > 15) & x.rlike("[A-Za-z]")), F.lit(0))
+    years = F.regexp_extract_all("text", F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1))
+    return heads.select("paper_id", F.coalesce(title, F.lit("")).alias("title"), F.coalesce(F.array_max(years), F.lit("")).alias("year"))
+
+
+def overridden(rows: DataFrame, sidecar: DataFrame, key: str) -> DataFrame:
+    """rows with the sidecar's fields in place of theirs wherever the sidecar has one that is not empty."""
+    fields = [c for c in sidecar.columns if c != key and c in rows.columns]
+    said = sidecar.select(key, *[F.col(c).alias(f"__{c}") for c in fields])
+    return rows.join(said, key, "left").select(*[F.coalesce(F.nullif(F.col(f"__{c}").cast("string"), F.lit("")).cast(rows.schema[c].dataType), F.col(c)).alias(c) if c in fields else F.col(c) for c in rows.columns])
+
+
+def numbered_chunks(chunks: DataFrame, order: list[str]) -> DataFrame:
+    """chunks of all papers with `id`, their running number from 0 as text.
+
+    Numbers run over all rows, so rows are sorted by range and counted a partition; no task holds them all.
+    """
+    rows = chunks.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    rows = rows.withColumns({"__part": F.shiftright("__at", 33), "__in": F.col("__at").bitwiseAND((1 << 33) - 1)})
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("n"))  # one row a partition
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__part", "before")
+    return rows.join(F.broadcast(before), "__part").withColumn("id", (F.col("before") + F.col("__in")).cast("string")).drop("__at", "__part", "__in", "before")
+
+
+def one_paper(chunks: DataFrame) -> str:
+    """The only paper id of chunks that are to be one index; several are an error."""
+    found = [r[0] for r in chunks.select("paper_id").distinct().limit(2).collect()]
+    if len(found) != 1:
+        raise ValueError(f"one index holds one paper, not {sorted(map(str, found))}")
+    return found[0]
+
+
+def best_chunks(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, covered) of the chunk file (file, chunk_id) that has most of the wanted chunk_ids; ties go to the first name."""
+    hit = files.join(wanted.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("file").agg(F.count_distinct("chunk_id").alias("covered"))
+    return hit.orderBy(F.desc("covered"), "file").limit(1)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import tempfile
 import uuid
 
@@ -73,12 +76,93 @@ def markdown_report(rows: DataFrame, by: str, title: str, lines: list[str]) -> D
     return rows.groupBy(by).agg(F.concat(F.lit("# "), F.first(title), F.lit("\n\n"), body).alias("markdown"))
 
 
+def read_predictions(spark: SparkSession, path: str, row: str) -> DataFrame:
+    """Rows of type `row` from a JSON list, or from the first of results, predictions, items and samples that is one."""
+    names = ("results", "predictions", "items", "samples")
+    raw = spark.read.text(path, wholetext=True)
+    inner = F.coalesce(*[F.from_json("value", f"{n} array<struct<{row}>>")[n] for n in names])
+    rows = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<struct<{row}>>")).otherwise(inner)
+    return raw.select(F.inline(F.coalesce(rows, F.raise_error(F.lit("no list of predictions in the file")).cast(f"array<struct<{row}>>"))))
+
+
+def read_questions(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Questions (qid, question, answer) of a JSON list, the first `limit` of them where one is given."""
+    rows = spark.read.schema("id string, qid string, question string, answer string").json(path, multiLine=True)
+    rows = rows.select(F.coalesce("qid", "id").alias("qid"), "question", "answer")
+    return rows if limit is None else rows.limit(limit)
+
+
+def read_config(path: str, environment: dict[str, str] | None = None, prefix: str = "CLAIMLOOM_") -> dict:
+    """A JSON configuration, over which variables PREFIX_SECTION__KEY of the environment go."""
+    with open(path, encoding="utf-8") as f:
+        out = json.load(f)
+    for name, value in (environment if environment is not None else os.environ).items():
+        if name.startswith(prefix):
+            put(out, name.removeprefix(prefix).lower().replace("__", "."), value)
+    return out
+
+
+def get(config: dict, dotted: str, default=None):
+    for part in dotted.split("."):
+        if not isinstance(config, dict) or part not in config:
+            return default
+        config = config[part]
+    return config
+
+
+def put(config: dict, dotted: str, value) -> None:
+    *path, last = dotted.split(".")
+    for part in path:
+        config = config.setdefault(part, {})
+    config[last] = value
+
+
+def claims_source(claim: str | None = None, claims: str | None = None, article: str | None = None, legacy: str | None = None) -> tuple[str, str]:
+    """(kind, value) of the input that counts: one claim before a claims file, an article and a legacy folder."""
+    for kind, value in (("claim", claim), ("claims", claims), ("article", article), ("legacy", legacy)):
+        if value:
+            return kind, value
+    raise ValueError("no claim, claims file, article or folder is given")
+
+
+def batch_names(names: list[str], prefix: str) -> list[str]:
+    """Batches C01_C10 of `prefix_C01_C10.json` names by number, others after them by name; translations are left out."""
+    found = set()
+    for name in names:
+        m = re.fullmatch(rf"{re.escape(prefix)}_(C[^.]*_C[^.]*)\.json", name)
+        if m and "_translated" not in name:
+            found.add(m[1])
+
+    def place(batch: str):
+        m = re.fullmatch(r"C(\d+)_C(\d+)", batch, re.IGNORECASE)
+        return (0, int(m[1]), int(m[2]), batch) if m else (1, 0, 0, batch)
+
+    return sorted(found, key=place)
+
+
+def replace_json(path: str, data) -> None:
+    """Write a file of the driver whole or not at all: beside it, then renamed over it."""
+    part = f"{path}.{uuid.uuid4().hex}"
+    with open(part, "w", encoding="utf-8") as f:
+        json.dump(data, f, ensure_ascii=False, indent=2)
+    os.replace(part, path)
+
+
+def write_pairs(pairs: DataFrame, path: str) -> None:
+    """Claim and evidence pairs as JSON lines; pairs without a claim are left out."""
+    write_json_lines(pairs.where(T.strip(F.coalesce("claim_zh", F.lit(""))) != ""), path)
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared folder of spark.checkpoint.dir and read again: lost executors repeat no earlier work.
 
-    Where that is unset, as in tests, a temporary folder of this machine is taken.
+    Where that is unset and the master is local, as in tests, a temporary folder of this machine is taken.
     """
-    root = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='claimloom-')}"
+    root = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not df.sparkSession.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='claimloom-')}"
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,9 +8,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from claimloom.llm import packing, suffix_dedup
 from claimloom.operators import retrieval as R
+from claimloom.operators import claims as C
 from claimloom.plans.queries import Q
 
 
@@ -54,10 +56,12 @@ def test_mmr_query_reads_whole_texts(spark, tmp_path):
 
 def test_rules_see_whole_texts(spark, tmp_path):
     texts = ["本研究发现基因调控植物的发育过程，并阐明其机制与表型变化的关系。", "短句", "plain words that go on for more than forty characters in all"]
-    rows = [(0, 6 * i + 5, "user", t) for i, t in enumerate(texts)]
-    folder = write(spark, tmp_path, "conversations", rows, "conv_id long, turn long, role string, text string")
-    assert [(r.role, r.keep) for r in Q["q52_rule_roles_whole"](spark, folder).orderBy("turn").collect()] == [(None, True), (None, False), (None, True)]
-    assert [(r.role, r.n) for r in Q["q53_rule_counts_whole"](spark, folder).collect()] == [("kept", 3)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", C.drop_role(F.col("t")).alias("role"), C.default_keep(F.col("t"), F.lit("")).alias("keep"))
+    assert [(r.role, r.keep) for r in rows.orderBy("i").collect()] == [(None, True), (None, False), (None, True)]
+    # Whole turns stand behind the heads: a cue at a turn's very end counts.
+    long = "plain words " * 400 + "基因"
+    folder = write(spark, tmp_path, "conversations", [(0, 14, "user", long), (0, 2, "user", long)], "conv_id long, turn long, role string, text string")
+    assert {r.turn: r.role for r in Q["q18_rule_roles"](spark, folder).collect()} == {14: None, 2: "publication_meta"}
 
 
 @pytest.mark.parametrize("most", [1, 4, 7, 4096])
@@ -83,7 +87,7 @@ def test_neighbours_of_every_document(spark, tmp_path):
     text = "first one here. a nation and a station. last one here. far away"
     rows = [(i, text, "en", "s", len(text)) for i in (3, 10, 17)]
     folder = write(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string, source string, n_chars long")
-    got = {(r.chunk_id, r.offset, r.score) for r in Q["q54_neighbour_expand_all"](spark, folder).collect()}
+    got = {(r.chunk_id, r.offset, r.score) for r in Q["q07_neighbour_expand"](spark, folder).collect()}
     assert got == {(i, o, v) for i in (3, 10, 17) for o, v in ((0, 0.1), (1, 0.2), (2, 0.1))}
 
 
@@ -177,8 +181,8 @@ def test_containments_of_all_pairs(spark, tmp_path):
     docs = [(1, "xalpha beta gamma delta epsilons", "fr"), (2, "it is a short one here", "en"), (3, "alpha beta gamma", "de"), (4, None, "en"), (5, "alpha beta gamma delta epsilon, short ones", "es")]
     write(spark, tmp_path, "benchmark", items, "item_id long, text string")
     folder = write(spark, tmp_path, "documents", docs, "doc_id long, text string, lang string")
-    assert {r.doc_id: r["items"] for r in Q["q56_contain_match_all"](spark, folder).collect()} == {1: [0, 2], 2: [1], 3: [], 4: [], 5: [0, 1, 2]}
-    got = {(r.a, r.b): r.overlap for r in Q["q55_ngram_containment_all"](spark, folder).collect()}
+    assert {r.doc_id: r["items"] for r in Q["q43_contain_match"](spark, folder).collect()} == {1: [0, 2], 2: [1], 3: [], 4: [], 5: [0, 1, 2]}
+    got = {(r.a, r.b): r.overlap for r in Q["q13_ngram_containment"](spark, folder).collect()}
     assert len(got) == 6 and got[0, 2] == 1.0 and got[1, 3] == 0.0
 
 
