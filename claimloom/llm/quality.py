@@ -6,11 +6,14 @@ of vote patterns of all documents estimates each labeller's vote rates in either
 scorer judges every document. Only pattern counts (at most 3^labellers, in practice dozens) and the sample reach the
 driver.
 
-The sample is the `sample` documents of smallest seeded hash. Features are hashed word shapes (transitions between
+The sample is the `sample` documents of smallest seeded hash (of an id with several texts the first in code-point
+order); their features, not their texts, are collected. Features are hashed word shapes (transitions between
 character classes), repeated words and the share of distinct words, as shares of a document's words.
 
 Defined cases: a null, empty or wordless text gets no votes and the scorer's bias, limited to good; repeated rows are
-scored alike; an empty table gives an empty table; extra columns pass through `filter_quality` unchanged.
+scored alike; very long texts are judged whole; a row without an id is scored but never in the sample; a score at the
+threshold is kept, and ties of the sample's hash go by id; an empty table gives an empty table; extra columns, whatever
+their names, pass through `filter_quality` unchanged.
 """
 
 from __future__ import annotations
@@ -109,21 +112,45 @@ def estimate(counts: dict[int, int], rounds: int = 100) -> dict:
     return {"posterior": dict(zip(keys, map(float, post), strict=True)), "bad": float(bad), "rates": rates}
 
 
-def dense(row, bins, n, distinct) -> np.ndarray:
-    x = np.zeros((len(n), BINS), np.float32)
-    np.add.at(x, (row, bins), 1.0)
-    x /= np.maximum(n, 1)[:, None]
-    x[:, 1] = np.clip(0.3 - distinct, 0, 1) * (n >= 30)
+SAMPLE = "id long, pattern long, n long, distinct double, bins binary, counts binary"
+
+
+def sampled(batches):
+    """Of (id, text) rows: the vote pattern and the features, a few hundred bytes a row whatever the text's length."""
+    for b in batches:
+        for at, d, o in text_chunks(b.column(1), 1 << 19):
+            votes, row, bins, n, distinct = describe(d, o)
+            keys, counts = np.unique(row * BINS + bins, return_counts=True)
+            cuts = np.searchsorted(keys, np.arange(len(n) + 1) * BINS)
+            parts = [slice(x, y) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0).slice(at, len(n)),
+                    pa.array(pattern(votes)),
+                    pa.array(n.astype(np.int64)),
+                    pa.array(distinct),
+                    pa.array([(keys[p] % BINS).astype(np.int32).tobytes() for p in parts], pa.binary()),
+                    pa.array([counts[p].astype(np.int32).tobytes() for p in parts], pa.binary()),
+                ],
+                [x.split(" ")[0] for x in SAMPLE.split(", ")],
+            )
+
+
+def dense(rows) -> np.ndarray:
+    """The sampled rows' features, one row each, over all bins."""
+    x = np.zeros((len(rows), BINS), np.float32)
+    for i, r in enumerate(rows):
+        x[i, np.frombuffer(r["bins"], np.int32)] = np.frombuffer(r["counts"], np.int32) / max(r["n"], 1)
+        x[i, 1] = np.clip(0.3 - r["distinct"], 0, 1) * (r["n"] >= 30)
     return x
 
 
-def train(texts: list[str | None], posts: list[float], epochs: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
+def train(x: np.ndarray, posts: list[float], epochs: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels; weights of the bins that the sample has, and a bias."""
-    if not texts:
+    if not len(x):
         return np.zeros(BINS), -3.0
-    parts = [dense(*describe(d, o)[1:]) for _, d, o in text_chunks(pa.array(texts, pa.string()), 1 << 19)]
-    live = np.flatnonzero(sum(p.any(0) for p in parts))
-    x, y = np.concatenate([p[:, live] for p in parts]), np.array(posts)
+    live = np.flatnonzero(x.any(0))
+    x, y = x[:, live], np.array(posts)
     w, b, m, v = np.zeros(len(live)), -1.0, np.zeros(len(live) + 1), np.zeros(len(live) + 1)
     for t in range(1, epochs + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
@@ -150,10 +177,11 @@ def fit(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sample: int
     rows = docs.select(text).mapInArrow(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     model = estimate({int(r["pattern"]): int(r["n"]) for r in rows})
     ids = docs.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct().orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample)
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).join(F.broadcast(ids), "id").collect()  # at most `sample` ids
-    picked = [r["t"] for r in sorted(picked, key=lambda r: (r["id"], r["t"] or ""))]
-    posts = [model["posterior"].get(int(k), 0.0) for _, d, o in text_chunks(pa.array(picked, pa.string()), 1 << 20) for k in pattern(describe(d, o)[0])] if picked else []
-    model["weights"], model["bias"] = train(picked, posts)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).join(F.broadcast(ids), "id").groupBy("id").agg(F.min("t").alias("t"))
+    rows = texts.select(F.col("id").cast("long"), "t").mapInArrow(sampled, SAMPLE).collect()  # at most `sample` rows
+    rows.sort(key=lambda r: r["id"])
+    posts = [model["posterior"].get(r["pattern"], 0.0) for r in rows]
+    model["weights"], model["bias"] = train(dense(rows), posts)
     return model
 
 
