@@ -25,12 +25,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies keep the document of the smallest id (one row of it)."""
-    groups = written(ngram_join.jaccard_components(docs.select("doc_id", "text")), "groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    out = sized_join(docs, written(gone, "gone"), "doc_id", "left_anti", 16)
-    repeated = groups.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    """Of each group of near copies keep the document of the smallest id; documents without words all stay.
+
+    Where ids repeat or are missing, rows are numbered, so that of a group's rows one stays whatever their ids.
+    """
+    row = "__claimloom_row"
+    odd = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count()
+    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows") if odd else docs.withColumn(row, F.col("doc_id"))
+    groups = written(ngram_join.jaccard_components(keyed.select(row, "text"), id_col=row), "groups")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(row))
+    return sized_join(keyed, written(gone, "gone"), row, "left_anti", 16).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +57,7 @@ STAGES = [
     ("pack", pack),
 ]
 
-#: EM, tokenisation and packing are beyond SQL: tests hold the stages against brute force instead.
+#: EM, tokenisation and packing are beyond SQL: tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
