@@ -143,7 +143,12 @@ def release() -> None:
         _TRIM(0)
 
 
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; other C libraries have none
+_LIBC = ctypes.CDLL(None)
+_TRIM = getattr(_LIBC, "malloc_trim", None)  # of glibc; other C libraries have none
+if (_MALLOPT := getattr(_LIBC, "mallopt", None)) is not None:
+    # Blocks of a MiB and more (M_MMAP_THRESHOLD, -3) go back to the system when freed. Left alone, glibc raises that bound
+    # as it meets large blocks, and a worker keeps its largest task's memory.
+    _MALLOPT(-3, 1 << 20)
 
 
 # ---------------------------------------------------------------- numpy text kernels

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import BROADCAST_BYTES, written
+from .common import BROADCAST_BYTES, release, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -155,6 +155,7 @@ def taken_texts(mixed: DataFrame, text: str = "text", n_chars: str | None = "n_c
             if count_at >= 0:
                 columns[count_at] = pa.array([len(x) for x in out], pa.int64()).cast(b.column(count_at).type)
             yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
+        release()
 
     return mixed.where("taken > 0").select(*schema.fieldNames(), "size", "spans").mapInArrow(run, schema)
 

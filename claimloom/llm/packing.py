@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import sized_join, written
+from .common import release, sized_join, written
 
 END = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
@@ -89,6 +89,7 @@ def pieces(docs: DataFrame, ranks_path: str, capacity: int = 2048, text: str = "
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names)
+        release()
 
     return docs.select(F.col(id_col).cast("long"), text).mapInArrow(run, PIECES)
 

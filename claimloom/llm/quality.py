@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, GOLD, byte_prefix, mix, span, text_chunks, words
+from .common import _LOWER, GOLD, byte_prefix, mix, release, span, text_chunks, words
 
 BINS = 1 << 12
 SCHEMA = "doc_id long, pattern long, posterior double, score double, keep int"
@@ -169,10 +169,11 @@ def fit(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sample: int
     def vote(batches):
         for b in batches:
             counts: dict[int, int] = {}
-            for _, d, o in text_chunks(b.column(0), 1 << 20):
+            for _, d, o in text_chunks(b.column(0), 1 << 19):
                 for k, c in zip(*np.unique(pattern(describe(d, o)[0]), return_counts=True), strict=True):
                     counts[int(k)] = counts.get(int(k), 0) + int(c)
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["pattern", "n"])
+        release()
 
     rows = docs.select(text).mapInArrow(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     model = estimate({int(r["pattern"]): int(r["n"]) for r in rows})
@@ -195,13 +196,14 @@ def score(docs: DataFrame, model: dict, text: str = "text", id_col: str = "doc_i
             pats, scores = judge(m, b.column(1))
             posts = [m["posterior"].get(int(k), 0.0) for k in pats]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pats), pa.array(posts), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "pattern", "posterior", "score", "keep"])
+        release()
 
     return docs.select(F.col(id_col).cast("long"), text).mapInArrow(run, SCHEMA)
 
 
 def judge(m: dict, column) -> tuple[np.ndarray, np.ndarray]:
     pats, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
-    for _, d, o in text_chunks(column, 1 << 20):
+    for _, d, o in text_chunks(column, 1 << 19):
         votes, row, bins, n, distinct = describe(d, o)
         logit = m["bias"] + np.bincount(row, m["weights"][bins], len(n)) / np.maximum(n, 1) + m["weights"][1] * np.clip(0.3 - distinct, 0, 1) * (n >= 30)
         pats.append(pattern(votes))
@@ -216,5 +218,6 @@ def filter_quality(docs: DataFrame, model: dict, text: str = "text", threshold:
     def run(batches):
         for b in batches:
             yield b.filter(pa.array(judge(held.value, b.column(b.schema.get_field_index(text)))[1] >= threshold))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

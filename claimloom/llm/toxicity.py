@@ -83,7 +83,7 @@ class Model:
 
     def scores(self, column) -> np.ndarray:
         out = []
-        for _, data, offsets in text_chunks(column, 1 << 20):
+        for _, data, offsets in text_chunks(column, 1 << 19):
             starts, ends, bound = words(data, offsets)
             s = word_scores(data, starts, ends, self.table)
             sums = np.concatenate(([0.0], np.cumsum(s)))
