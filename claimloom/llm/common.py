@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 import tempfile
 import uuid
 
@@ -145,7 +146,9 @@ def release() -> None:
 
 _LIBC = ctypes.CDLL(None)
 _TRIM = getattr(_LIBC, "malloc_trim", None)  # of glibc; other C libraries have none
-if (_MALLOPT := getattr(_LIBC, "mallopt", None)) is not None:
+_MAIN = getattr(sys.modules.get("__main__"), "__spec__", None)
+if (_MALLOPT := getattr(_LIBC, "mallopt", None)) is not None and _MAIN is not None and _MAIN.name.startswith("pyspark."):
+    # In workers only, whose main module is Spark's: the driver trains models and is left as it is.
     # Blocks of a MiB and more (M_MMAP_THRESHOLD, -3) go back to the system when freed. Left alone, glibc raises that bound
     # as it meets large blocks, and a worker keeps its largest task's memory.
     _MALLOPT(-3, 1 << 20)
