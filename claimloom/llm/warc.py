@@ -4,7 +4,8 @@ Records are grouped into independent frames; a bundle is its frames and a skippa
 (compressed and decompressed size of each frame) and its footer. An index beside the bundle maps a record's id to
 (frame, offset in the frame, length). Bundles are rows of a table that Spark's writer commits in the shared folder, so
 that a lost executor leaves no partial archive and any file system that Spark can write will do;
-`export_files` puts them out as .warc.zst files where the folder is mounted.
+`export_files` puts them out as .warc.zst files where the folder is mounted, from which `fetch` reads single records by
+their `places`.
 
 Of records with equal payloads of at least `least` bytes the one of the largest id is a response and the others are
 revisits, which hold no payload but its digest and length and whom they refer to.
@@ -18,9 +19,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import os
 import struct
 import uuid
+from typing import BinaryIO
 
 import pyarrow as pa
 import zstandard
@@ -33,6 +36,8 @@ from .common import sized_join, written
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 BUNDLES = "bundle_id string, archive binary, index array<struct<record_id: string, frame: int, offset: int, length: int>>"
 READ = "record_id string, page_id long, uri string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+READ_NAMES = [x.split(" ")[0] for x in READ.split(", ")]
+READ_KINDS = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 
 
 def record_id(page_id: int | None) -> str:
@@ -100,20 +105,37 @@ class Bundle:
         return b"".join(self.frames) + struct.pack("<II", SKIPPABLE, len(entries) + len(foot)) + entries + foot
 
 
-def seek_table(archive: bytes) -> list[tuple[int, int, int]]:
-    """(start, compressed size, decompressed size) of each frame, from the footer."""
-    n, _, magic = struct.unpack("<IBI", archive[-9:])
+def seek_table(f: BinaryIO) -> list[tuple[int, int, int]]:
+    """(start, compressed size, decompressed size) of each frame; only the footer and its table are read."""
+    f.seek(-9, os.SEEK_END)
+    n, _, magic = struct.unpack("<IBI", f.read(9))
     if magic != SEEKABLE:
         raise ValueError("no seek table")
+    f.seek(-9 - 8 * n, os.SEEK_END)
     at, out = 0, []
-    for packed, raw in struct.iter_unpack("<II", archive[-9 - 8 * n : -9]):
+    for packed, raw in struct.iter_unpack("<II", f.read(8 * n)):
         out.append((at, packed, raw))
         at += packed
     return out
 
 
-def frame(archive: bytes, entry: tuple[int, int, int]) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(archive[entry[0] : entry[0] + entry[1]], max_output_size=max(1, entry[2]))
+def frame(f: BinaryIO, entry: tuple[int, int, int]) -> bytes:
+    f.seek(entry[0])
+    return zstandard.ZstdDecompressor().decompress(f.read(entry[1]), max_output_size=max(1, entry[2]))
+
+
+def checked(raw: bytes, keep_payload: bool) -> tuple:
+    """A record's row in the columns of READ; a response's payload must have the length and digest it states."""
+    f, body = read_record(raw)
+    digest = base64.b32decode(f["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+    if f["WARC-Type"] == "response" and (hashlib.sha1(body).hexdigest() != digest or len(body) != int(f["X-Payload-Length"])):
+        raise ValueError(f"payload of {f['WARC-Record-ID']} is damaged")
+    refers = page_of(f["WARC-Refers-To"]) if "WARC-Refers-To" in f else None
+    return f["WARC-Record-ID"], page_of(f["WARC-Record-ID"]), f["WARC-Target-URI"], int(f["X-Payload-Length"]), digest, f["WARC-Type"], refers, body if keep_payload else None
+
+
+def read_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, READ_KINDS, strict=True)], READ_NAMES)
 
 
 def with_digests(pages: DataFrame, least: int = 1000, id_col: str = "page_id", uri: str = "url", payload: str = "html") -> DataFrame:
@@ -159,11 +181,9 @@ def read_bundles(bundles: DataFrame, only: list[str] | None = None, keep_payload
         bundles = bundles.where(F.exists("index", lambda x: x["record_id"].isin(list(wanted))))
 
     def run(batches):
-        names = [x.split(" ")[0] for x in READ.split(", ")]
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         for batch in batches:
             for i in range(batch.num_rows):
-                archive, index = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                archive, index = io.BytesIO(batch.column(0)[i].as_py()), batch.column(1)[i].as_py()
                 frames, at, raw, rows = seek_table(archive), -1, b"", []
                 for x in index:
                     if wanted is not None and x["record_id"] not in wanted:
@@ -171,17 +191,47 @@ def read_bundles(bundles: DataFrame, only: list[str] | None = None, keep_payload
                     if x["frame"] != at:
                         at = x["frame"]
                         raw = frame(archive, frames[at])
-                    f, body = read_record(raw[x["offset"] : x["offset"] + x["length"]])
-                    digest = base64.b32decode(f["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                    if f["WARC-Type"] == "response" and (hashlib.sha1(body).hexdigest() != digest or len(body) != int(f["X-Payload-Length"])):
-                        raise ValueError(f"payload of {x['record_id']} is damaged")
-                    refers = page_of(f["WARC-Refers-To"]) if "WARC-Refers-To" in f else None
-                    rows.append((x["record_id"], page_of(f["WARC-Record-ID"]), f["WARC-Target-URI"], int(f["X-Payload-Length"]), digest, f["WARC-Type"], refers, body if keep_payload else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names)
+                    rows.append(checked(raw[x["offset"] : x["offset"] + x["length"]], keep_payload))
+                yield read_batch(rows)
 
     return bundles.select("archive", "index").mapInArrow(run, READ)
 
 
+def places(bundles: DataFrame) -> DataFrame:
+    """The index of all bundles, one row a record: record_id, bundle_id, frame, offset, length. Archives are not read."""
+    return bundles.select("bundle_id", F.explode("index").alias("x")).select("x.record_id", "bundle_id", "x.frame", "x.offset", "x.length")
+
+
+def fetch(found: DataFrame, folder: str, keep_payload: bool = True) -> DataFrame:
+    """The records at rows of places(), from the files of export_files() in a folder that all executors mount.
+
+    Of a file only its footer, its seek table and the frames asked for are read. Rows are dealt by frame, so that a
+    frame is read once however many of its records are asked for; a place asked for twice gives its record twice.
+    """
+
+    def run(batches):
+        name, at, f, frames, raw = None, -1, None, [], b""
+        try:
+            for batch in batches:
+                rows = []
+                for own, no, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if own != name:
+                        if f is not None:
+                            f.close()
+                        name, at, f = own, -1, open(f"{folder}/{own}.warc.zst", "rb")
+                        frames = seek_table(f)
+                    if no != at:
+                        at, raw = no, frame(f, frames[no])
+                    rows.append(checked(raw[offset : offset + length], keep_payload))
+                yield read_batch(rows)
+        finally:
+            if f is not None:
+                f.close()
+
+    order = found.select("bundle_id", "frame", "offset", "length").repartition("bundle_id", "frame").sortWithinPartitions("bundle_id", "frame")
+    return order.mapInArrow(run, READ)
+
+
 def export_files(bundles: DataFrame, folder: str) -> DataFrame:
     """Write each bundle as <bundle_id>.warc.zst in a folder that all executors mount; a rename makes each whole."""
 

@@ -1,6 +1,7 @@
 """The ten operators against brute force and on awkward rows: nulls, empties, ties, repeats, empty tables, extra columns."""
 
 import hashlib
+import io
 import random
 import zlib
 
@@ -157,9 +158,42 @@ def test_warc(spark, tmp_path):
             assert bytes(r.payload).decode() in texts
     assert [r.page_id for r in warc.read_bundles(bundles, only=[warc.record_id(4)], keep_payload=True).collect()] == [4]
     assert warc.export_files(bundles, str(tmp_path)).count() == bundles.count() == len(list(tmp_path.glob("*.warc.zst")))
+    at = warc.places(bundles)
+    assert at.count() == len(pages)
+    found = {r.record_id: r for r in warc.fetch(at.where("record_id LIKE '%:3>' OR record_id LIKE '%:2>' OR record_id LIKE '%:6>'"), str(tmp_path)).collect()}
+    assert {i: (r.record_type, r.refers_to, bytes(r.payload).decode()) for i, r in found.items()} == {
+        warc.record_id(2): ("revisit", 3, ""), warc.record_id(3): ("response", None, big), warc.record_id(6): ("response", None, "")
+    }
+    assert warc.fetch(at.union(at), str(tmp_path)).count() == 2 * len(pages)
+    assert warc.fetch(at.limit(0), str(tmp_path)).count() == 0
     assert warc.read_bundles(warc.write_bundles(warc.with_digests(df.limit(0)))).count() == 0
 
 
+class Counting(io.BytesIO):
+    """A file that counts the bytes it hands out."""
+
+    given = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.given += len(out)
+        return out
+
+
+def test_seek_reads_only_what_is_asked():
+    b, r = warc.Bundle(4000, 3), random.Random(5)
+    bodies = [r.randbytes(3000) for _ in range(200)]
+    for i, body in enumerate(bodies):
+        b.add(warc.record_id(i), warc.write_record(i, "u", body, hashlib.sha1(body).hexdigest(), None))
+    f = Counting(b.archive())
+    frames = warc.seek_table(f)
+    for i in (0, 117, 199):
+        f.given = 0
+        _, no, offset, length = b.index[i]
+        assert warc.checked(warc.frame(f, frames[no])[offset : offset + length], True)[-1] == bodies[i]
+        assert f.given == frames[no][1] < len(f.getbuffer()) / 50
+
+
 def test_media(docs, none, rows):
     held = media.store(docs, "doc_id", "text")
     got = {r.id: r for r in media.resolve(media.sequences(held, "id"), media.features(held)).collect()}
