@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
 
@@ -83,27 +84,29 @@ def article_sentences(articles: DataFrame, min_chars: int = 8) -> DataFrame:
 def merged_items(sentences: DataFrame) -> DataFrame:
     """(article_id, cand_id, section, text): numbered items joined to the sentence of their section that lists them.
 
-    A fold over each article's sentences in order, as what was joined decides about the next item.
+    A fold over each article's sentences in order, as what was joined decides about the next item. Ids are of any type.
     """
     import re
 
-    import pandas as pd
+    import pyarrow as pa
 
     numbered, cue = re.compile(NUMBERED), re.compile(LIST_CUES)
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, t: pa.Table) -> pa.Table:
         out: list[tuple[str, str]] = []
-        for section, text in p.sort_values("ordinal")[["section", "text"]].itertuples(index=False):
+        t = t.sort_by("ordinal")
+        for section, text in zip(t["section"].to_pylist(), t["text"].to_pylist(), strict=True):
             text, (at, last) = text.strip(), out[-1] if out else (None, "")
             lists = numbered.match(last) or last.strip()[-1:] in tuple("：:；;") or cue.search(last)
             if out and at == section and numbered.match(text) and lists:
                 out[-1] = (at, f"{last.rstrip('；;、，, ')}；{text}")
             else:
                 out.append((section, text))
-        article = p["article_id"].iloc[0]
-        return pd.DataFrame([(article, i, *x) for i, x in enumerate(out, 1)], columns=["article_id", "cand_id", "section", "text"])
+        ids = pa.array([key[0].as_py()] * len(out), t.schema.field("article_id").type)
+        return pa.table([ids, pa.array(range(1, len(out) + 1), pa.int32()), pa.array([x for x, _ in out]), pa.array([x for _, x in out])], ["article_id", "cand_id", "section", "text"])
 
-    return sentences.groupBy("article_id").applyInPandas(fold, "article_id string, cand_id int, section string, text string")
+    schema = StructType([sentences.schema["article_id"], *(StructField(n, k) for n, k in (("cand_id", IntegerType()), ("section", StringType()), ("text", StringType())))])
+    return sentences.groupBy("article_id").applyInArrow(fold, schema)
 
 
 def article_candidates(articles: DataFrame, min_chars: int = 8) -> DataFrame:

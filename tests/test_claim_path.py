@@ -49,6 +49,17 @@ def test_article_to_candidates(spark):
     ]
 
 
+def test_candidates_keep_the_type_of_ids(spark):
+    rows = frame(spark, [(2**53 + 1, ARTICLE), (7, ARTICLE), (None, ARTICLE), (8, None)], "article_id long, text string")
+    got = C.article_candidates(rows)
+    assert got.schema["article_id"].dataType.simpleString() == "bigint"
+    one = [(r.cand_id, r.section, r.text) for r in C.article_candidates(frame(spark, [("a", ARTICLE)], "article_id string, text string")).orderBy("cand_id").collect()]
+    held = {}
+    for r in got.orderBy("cand_id").collect():
+        held.setdefault(r.article_id, []).append((r.cand_id, r.section, r.text))
+    assert held == {2**53 + 1: one, 7: one, None: one}
+
+
 ROLES = {
     "某某团队联合某某院在Nature Plants期刊上发表了题为“Developmental innovation 发现”的研究论文。": ("publication_meta", False),
     "某某团队在Nature Plants期刊上发表论文，首次揭示了黄瓜下位子房的发育机制。": ("paper_lead", True),
