@@ -15,15 +15,16 @@ but for the five result columns, which win; an empty table gives an empty table.
 from __future__ import annotations
 
 import math
-import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import BROADCAST_BYTES, release, written
+from .common import BROADCAST_BYTES, release, text_chunks, words, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -125,41 +126,46 @@ def taken_texts(mixed: DataFrame, text: str = "text", n_chars: str | None = "n_c
     Columns of mix_sources() are dropped; `n_chars`, where given, is counted again. Documents without taken words go.
     """
     schema = mixed.drop("size", "source_size", "target", "taken", "spans").schema
-    at, count_at = schema.fieldNames().index(text), schema.fieldNames().index(n_chars) if n_chars else -1
-    n = len(schema)
 
     def run(batches):
         for b in batches:
-            source, out = [], []
-            for i, (t, size, spans) in enumerate(zip(b.column(at).to_pylist(), b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)):
-                by_pass: dict[int, list[tuple[int, int]]] = {}
-                for s in spans:
-                    by_pass.setdefault(s["pass"], []).append((s["start"], s["start"] + s["length"]))
-                words = None
-                for _, runs in sorted(by_pass.items()):
-                    if sum(z - a for a, z in runs) == size:
-                        out.append(t)
-                    else:
-                        words = words or list(re.finditer(WORD, t))
-                        merged = []
-                        for a, z in sorted(runs):
-                            if merged and merged[-1][1] == a:
-                                merged[-1][1] = z
-                            else:
-                                merged.append([a, z])
-                        out.append("\n".join(t[words[a].start() : words[z - 1].end()] for a, z in merged))
-                    source.append(i)
-            rows = b.take(pa.array(source, pa.int64()))
-            columns = rows.columns[:n]
-            columns[at] = pa.array(out, pa.string())
-            if count_at >= 0:
-                columns[count_at] = pa.array([len(x) for x in out], pa.int64()).cast(b.column(count_at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
+            yield from passes(b, schema.fieldNames(), text, n_chars)
         release()
 
     return mixed.where("taken > 0").select(*schema.fieldNames(), "size", "spans").mapInArrow(run, schema)
 
 
+def passes(b: pa.RecordBatch, names: list[str], text: str, n_chars: str | None, limit: int = 1 << 20):
+    """The rows of taken_texts() of a batch of `names`, size and spans, in batches cut from about `limit` bytes of text.
+
+    Words are found and cut as bytes, so that what a task holds beside its batch follows `limit` or its longest text.
+    """
+    at, n = names.index(text), len(names)
+    for first, data, offsets in text_chunks(b.column(at), limit):
+        part = b.slice(first, len(offsets) - 1)
+        starts, ends, bound = words(data, offsets)
+        sizes, spans = part.column(n).to_pylist(), part.column(n + 1)
+        to = np.cumsum(pc.list_value_length(spans).to_numpy(zero_copy_only=False))
+        pass_, start, length = (pc.struct_field(spans.flatten(), x).to_numpy() for x in ("pass", "start", "length"))
+        source, out = [], []
+        for i, (f, t) in enumerate(zip([0, *to[:-1]], to, strict=True)):
+            for k in np.unique(pass_[f:t]):
+                own = pass_[f:t] == k
+                a, m = start[f:t][own], length[f:t][own]
+                if m.sum() == sizes[i]:
+                    out.append(data[offsets[i] : offsets[i + 1]].tobytes())
+                else:
+                    order = np.argsort(a)
+                    a, z = a[order], (a + m)[order]
+                    new = a[1:] != z[:-1]
+                    runs = zip(bound[i] + a[np.concatenate(([True], new))], bound[i] + z[np.concatenate((new, [True]))] - 1, strict=True)
+                    out.append(b"\n".join(data[starts[x] : ends[y]].tobytes() for x, y in runs))
+                source.append(i)
+        texts, rows = pa.array(out, pa.binary()).cast(pa.string()), pa.array(source, pa.int64())
+        made = {at: texts} | ({names.index(n_chars): pc.utf8_length(texts).cast(b.column(names.index(n_chars)).type)} if n_chars else {})
+        yield pa.RecordBatch.from_arrays([made[c] if c in made else part.column(c).take(rows) for c in range(n)], names)
+
+
 def quotas(order, want, sums, block, cap) -> dict[tuple[int, int], int]:
     """Blocks for each (source, shard): first among the sources, then within each source among its shards."""
     by_source: dict[int, list[int]] = {}

@@ -2,10 +2,13 @@
 
 import hashlib
 import io
+import itertools
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -444,3 +447,28 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
     assert out.count() > 0
+
+
+def test_taken_texts_come_in_bounded_batches():
+    r = random.Random(4)
+    span = pa.list_(pa.struct([("pass", pa.int32()), ("start", pa.int64()), ("length", pa.int64())]))
+    texts, spans = [], []
+    for i in range(120):
+        texts.append("  " * (i % 2) + "".join(r.choice(["é", "ab", "漢字"]) + r.choice([" ", "\n", "\x0b ", " x "]) for _ in range(0 if i == 7 else 9000)))
+        n, whole = len(re.findall(mixing.WORD, texts[-1])), [{"pass": 0, "start": 0, "length": 0}]
+        whole[0]["length"] = n
+        cuts = [{"pass": 1, "start": s, "length": min(32, n - s)} for s in range(0, n, 32) if r.random() < 0.5]
+        spans.append((whole if i % 3 and n else []) + r.sample(cuts, len(cuts)))
+    sizes = [len(re.findall(mixing.WORD, t)) for t in texts]
+    b = pa.RecordBatch.from_arrays([pa.array(range(120)), pa.array(texts), pa.array([0] * 120, pa.int32()), pa.array(sizes, pa.int64()), pa.array(spans, span)], ["doc_id", "text", "n_chars", "size", "spans"])
+    made = list(mixing.passes(b.slice(1), ["doc_id", "text", "n_chars"], "text", "n_chars"))
+    assert len(made) > 2 and max(x.nbytes for x in made) < 3 << 20 and made[0].schema.field("n_chars").type == pa.int32()
+    want = []
+    for i, (t, own) in list(enumerate(zip(texts, spans, strict=True)))[1:]:
+        found = list(re.finditer(mixing.WORD, t))
+        for p in sorted({s["pass"] for s in own}):
+            taken = sorted(x for s in own if s["pass"] == p for x in range(s["start"], s["start"] + s["length"]))
+            runs = [list(g) for _, g in itertools.groupby(taken, key=lambda x, at=iter(range(len(taken))): x - next(at))]
+            text = t if len(taken) == sizes[i] else "\n".join(t[found[g[0]].start() : found[g[-1]].end()] for g in runs)
+            want.append((i, text, len(text)))
+    assert [tuple(x.values()) for m in made for x in m.to_pylist()] == want
