@@ -90,7 +90,8 @@ WITH u AS (SELECT unnest({_SPLIT}) AS x FROM documents WHERE lang = 'en'), v AS
 SELECT {_DROP} AS reason, count(*) AS n FROM v GROUP BY 1""")
 def q04(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "documents").where("lang = 'en'").select(F.explode(T.naive_sentences(F.col("text"))).alias("s"))
-    return s.groupBy(F.coalesce(G.drop_reason(F.col("s")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+    s = s.withColumn("verb", G.has_verb(F.col("s"), G.ascii_))
+    return s.groupBy(F.coalesce(G.drop_reason(F.col("s"), verb=F.col("verb"), ascii_only=True), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 _TOP = """SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) + 0.0 AS score

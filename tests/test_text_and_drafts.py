@@ -162,3 +162,22 @@ def test_term_query_and_reading(spark):
     got = {r.chunk_id: (r.found, r.best_sentence) for r in X.read_chunks(wanted, chunks, sentences, board).collect()}
     assert got == {7: (True, "7:1"), 9: (False, None)}
     assert R.gate(spark.createDataFrame([(1,)], "claim_id long"), board.select("claim_id", F.col("rerank_score").alias("score"))).select(X.gate_message().alias("m")).first().m.startswith("STOP")
+
+
+def test_drop_reasons_equal_sql_on_odd_letters(spark, tmp_path):
+    import duckdb
+
+    from claimloom.plans.queries import SQL, Q
+
+    odd = [
+        "Our\u00e9eux, queai enpation", "Ou\u00e8 \u00e9our\u00e9 r\u00e8ment ou\u00e7", "\u00a0Nbsp at both ends of it\u00a0", "Wa\u017f it a long \u017f or no verb here at all",
+        "5 \u00b5m (bar of a scale) without any of them", "Some University of the far north, China\u2028", "\u00a0Received in the month of a far year", "A b c d e f g h i j k l m n o\u00e9 p q r s t x",
+        "\u0663\u0664 Department of a far country, USA\u0085", "Ann Lee, Bob Ray, Cy Dow", "Cla97C01\u00e9 stands by the leaf 97 at Homo \u00e9lan", "Ab,\u00a0long word; Cd,\u00a0other word for this one",
+    ]
+    rows = [(i, t, "en") for i, t in enumerate(odd)] + [(99, None, "en"), (100, "Ein Satz", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("q04_drop_reasons", "q03_sentence_explode"):
+        got = sorted(map(tuple, Q[name](spark, str(tmp_path)).collect()))
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        assert got == sorted(con.execute(SQL[name]).fetchall()), name
