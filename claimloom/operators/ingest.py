@@ -14,9 +14,12 @@ from ..functions import text as T
 
 def sentences_with_verdicts(rows: DataFrame, text: str = "text", min_chars: int = 30) -> DataFrame:
     """The English sentences of each row, with offset, sentence, keep, reason and removed; dropped ones stay for review."""
-    cut = rows.withColumn("__s", E.segment(text)).select(*[c for c in rows.columns if c != text], F.posexplode("__s").alias("offset", "sentence"))
-    v = cut.withColumn("__v", E.verdict(F.col("sentence"), min_chars))
-    return v.select(*cut.columns[:-1], F.col("__v.text").alias("sentence"), "__v.keep", "__v.reason", "__v.removed")
+    # An inner explode would be given a filter on the array's size, which segments every text a second time.
+    cut = rows.withColumn("__s", E.segment(text)).select(*[c for c in rows.columns if c != text], F.posexplode_outer("__s").alias("offset", "sentence")).where("offset IS NOT NULL")
+    # The steps of verdict(), each in a column that later ones read: inlined, the parts and the verb are made a dozen times.
+    v = cut.withColumn("__p", E.sentence_parts(F.col("sentence"))).withColumn("__verb", E.has_verb(F.col("__p.text")))
+    v = v.withColumn("__r", E.drop_reason(F.col("__p.text"), min_chars, F.col("__verb")))
+    return v.select(*cut.columns[:-1], F.col("__p.text").alias("sentence"), F.col("__r").isNull().alias("keep"), F.coalesce("__r", F.lit("")).alias("reason"), F.col("__p.removed").alias("removed"))
 
 
 def repaired_chunks(chunks: DataFrame) -> DataFrame:

@@ -181,3 +181,13 @@ def test_drop_reasons_equal_sql_on_odd_letters(spark, tmp_path):
         con = duckdb.connect()
         con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
         assert got == sorted(con.execute(SQL[name]).fetchall()), name
+
+
+def test_texts_are_segmented_once(spark):
+    from claimloom.operators.ingest import sentences_with_verdicts
+
+    rows = spark.createDataFrame([(1, "We found it here. " * 2), (2, None), (3, " ")], "doc_id long, text string")
+    got = sentences_with_verdicts(rows)
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    want = rows.select("doc_id", F.explode(G.segment("text")).alias("t")).select("doc_id", G.verdict(F.col("t")).alias("v")).select("doc_id", "v.text", "v.keep", "v.reason", "v.removed")
+    assert sorted(map(repr, got.select("doc_id", F.col("sentence").alias("text"), "keep", "reason", "removed").collect())) == sorted(map(repr, want.collect())) and got.count() == 2
